@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,5 +16,61 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules,)}
-ORACLES: dict[str, str] = {}
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan_secrets
+
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
+    line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(line(of("assign", "access", "hex")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_dedup_table
+
+    return line_dedup_table(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    names = lambda *arrays: F.array_join(F.array_sort(F.array_distinct(F.concat(*arrays))), ",")
+    base, more = F.transform("phrases", lambda x: x["label"]), F.transform("spans", lambda x: x["label"])
+    starts = F.transform("phrases", lambda x: x["start"])
+    best = F.coalesce(F.array_max(F.transform("spans", lambda x: x["covered"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size("phrases").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(base, more).alias("labels"), F.when(F.size("phrases") > 0, 1.0).otherwise(best).alias("score"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op6_line_dedup, op8_license_scan, op9_decontamination)}
+
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": r"""
+with lines as (
+  select doc_id, i, l, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k
+  from (select doc_id, unnest(s) l, unnest(range(len(s))) i from (select doc_id, string_split(coalesce(text, ''), chr(10)) s from documents))),
+owners as (select k, min(doc_id) o from lines where length(k) >= 10 group by k having count(distinct doc_id) > 1),
+marked as (select doc_id, i, l, coalesce(o <> doc_id, false) dropped from lines left join owners using (k))
+select doc_id, count(*)::bigint n_lines, (count(*) filter (where dropped))::bigint n_dropped,
+  sha256(coalesce(string_agg(l, chr(10) order by i) filter (where not dropped), '')) kept_sha256
+from marked group by doc_id""",
+    "op9_decontamination": r"""
+with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents),
+iw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark),
+win as (select distinct item_id, len(w) n, array_to_string(w, ' ') g from iw where len(w) between 1 and 9
+  union select item_id, 10, array_to_string(w[i:i + 9], ' ') from (select item_id, w, unnest(range(1, len(w) - 8)) i from iw where len(w) >= 10)),
+sizes as (select distinct n from win),
+grams as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from dw, sizes where len(w) >= n)),
+hits as (select doc_id, i, n, item_id from grams join win using (n, g)),
+covered as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from hits) group by doc_id),
+found as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) items from (select distinct doc_id, cast(item_id as varchar) item_id from hits) group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from dw left join covered using (doc_id) left join found using (doc_id)""",
+}
