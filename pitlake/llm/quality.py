@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK, UPPER, WORD, shared_dir, staged
+from .common import BLANK, shared_dir, staged
 
 # The base rules.
 SYMBOLS = "#*$%&|<>"
@@ -31,7 +31,6 @@ METRICS = {
     "symbols": (100, False),
     "dup_lines": (250, False),
     "repeats": (100, False),
-    "capitals": (100, False),
     "exclaims": (100, False),
 }
 SPREAD = 3
@@ -39,35 +38,41 @@ MIN_GROUP = 200
 BITS = 6  # values under 2**BITS have a bucket each
 
 
+def count_of(text: Column, chars: str) -> Column:
+    """How often any of the (one-byte) characters occurs: one fast search each, no table look-up for every character."""
+    n = F.lit(0).cast("long")
+    for c in chars:
+        n = n + F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))
+    return n
+
+
 def base_metrics(text: Column) -> Column:
     """Struct of the counts that the base rules and the fences need."""
     body = F.coalesce(text, F.lit(""))
-    words = F.regexp_extract_all(body, F.lit(WORD), F.lit(0))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
-    size = F.length(body).cast("long")
-    without = lambda chars: size - F.length(F.translate(body, chars, ""))
-    first = F.struct(
+    plain = body
+    for c in BLANK[1:]:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    words = F.array_remove(F.split(plain, " ", -1), "")
+    lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANK))) > 0)
+    return F.struct(
         words.alias("words"),
         F.size(words).cast("long").alias("n_words"),
-        (size - without(BLANK)).alias("word_chars"),
-        without(SYMBOLS).alias("n_symbols"),
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        without(UPPER).alias("n_capitals"),
-        without("!?").alias("n_exclaims"),
+        (F.length(body) - count_of(body, BLANK)).alias("word_chars"),
+        count_of(body, SYMBOLS).alias("n_symbols"),
+        lines.alias("lines"),
+        count_of(body, "!?").alias("n_exclaims"),
     )
-    return first
 
 
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words inside windows of so many words that occur at least twice in the array, the first occurrence included.
 
-    The windows' (hash, position) pairs are sorted; equal neighbours mark repeated windows, and a repeated window adds
-    what it covers beyond the one before it."""
+    Most texts have no such window: their windows' hashes are all distinct. Otherwise the (hash, position) pairs are
+    sorted; equal neighbours mark repeated windows, and a repeated window adds what it covers beyond the one before."""
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(0), n - window), lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, F.lit(window))).alias("h"), i.alias("i")))
-    in_order = F.array_sort(hashes)
-    twice = lambda s: F.array_sort(F.filter(
+    each = lambda x: F.transform(x, lambda w: F.xxhash64(w))
+    hashes = lambda x: F.transform(F.sequence(F.lit(0), n - window), lambda i: F.xxhash64(F.slice(x, i + 1, F.lit(window))))
+    twice = lambda s: F.sort_array(F.filter(
         F.transform(s, lambda x, k: F.when((F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]), x["i"])),
         lambda x: x.isNotNull(),
     ))
@@ -77,16 +82,17 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
         lambda acc, x: F.struct((acc["n"] + F.least(F.lit(window), x - acc["last"])).alias("n"), x.alias("last")),
         lambda acc: acc["n"],
     )
-    # element_at over one-element arrays binds an intermediate once, where a plain expression would be evaluated at each use.
-    bound = F.transform(F.array(in_order), lambda s: F.transform(F.array(twice(s)), covered)[0])[0]
-    return F.when(n > window, bound).otherwise(F.lit(0).cast("long"))
+    # A transform over a one-element array binds an intermediate once; a plain expression would be evaluated at each use.
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    found = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(once(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))), lambda s: once(twice(s), covered)))
+    return F.when(n > window, once(each(words), lambda w: once(hashes(w), found))).otherwise(F.lit(0).cast("long"))
 
 
 def with_metrics(docs: DataFrame, into: str) -> DataFrame:
     """docs and a struct column `into` with all counts, the base verdict and the judged metrics."""
     a = docs.withColumn(into, base_metrics(F.col("text")))
     m = F.col(into)
-    a = a.withColumn(into, F.struct(m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_lines"].alias("n_lines"), m["n_dup_lines"].alias("n_dup_lines"), m["n_capitals"].alias("n_capitals"), m["n_exclaims"].alias("n_exclaims"), repeat_words(m["words"]).alias("n_repeat_words")))
+    a = a.withColumn(into, F.struct(m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), F.size(m["lines"]).cast("long").alias("n_lines"), (F.size(m["lines"]) - F.size(F.array_distinct(m["lines"]))).cast("long").alias("n_dup_lines"), m["n_exclaims"].alias("n_exclaims"), repeat_words(m["words"]).alias("n_repeat_words")))
     share = lambda x, of: F.when(of > 0, F.floor(x * 1000 / F.when(of > 0, of))).otherwise(0).cast("long")
     return a.withColumn(
         into,
@@ -94,7 +100,7 @@ def with_metrics(docs: DataFrame, into: str) -> DataFrame:
             m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"),
             ((m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT)).alias("base_failed"),
             share(m["word_chars"], m["n_words"]).alias("word_length"), share(m["n_symbols"], m["n_words"]).alias("symbols"), share(m["n_dup_lines"], m["n_lines"]).alias("dup_lines"),
-            share(m["n_repeat_words"], m["n_words"]).alias("repeats"), share(m["n_capitals"], m["word_chars"]).alias("capitals"), share(m["n_exclaims"], m["n_words"]).alias("exclaims"),
+            share(m["n_repeat_words"], m["n_words"]).alias("repeats"), share(m["n_exclaims"], m["n_words"]).alias("exclaims"),
         ),
     )
 
