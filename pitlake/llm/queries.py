@@ -10,6 +10,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, in_training, sampled
+
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, sampled(docs))
+    return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), F.col("lang_best").alias("lang_pred"), "score", "margin", F.col("lang").isNull().alias("rejected"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_table
 
@@ -25,12 +33,24 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")], F.sha2(line(of("assign", "access", "hex")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_dedup_table
 
     return line_dedup_table(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -49,7 +69,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_secret_scan, op6_line_dedup, op8_license_scan, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_secret_scan, op5_packing, op6_line_dedup, op7_warc, op8_license_scan, op9_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": r"""

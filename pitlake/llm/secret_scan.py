@@ -2,7 +2,7 @@
 
 The models are bigram chains over [A-Za-z0-9+/_=-]. One learns from labelled random strings (what the base patterns
 capture), the other from labelled ordinary identifiers (the other long words), both in a bounded sample of documents:
-the `sample` smallest by hash of doc_id. Add-`PRIOR` smoothing draws the first towards uniform characters, which is what
+about `sample` of the smallest hashes of doc_id. Add-`PRIOR` smoothing draws the first towards uniform characters, which is what
 a random string is. A run of at least `min_chars` such characters outside the base spans is a secret of kind `random`
 when it has a digit and its log-likelihood ratio exceeds `margin`, both a run and a character.
 
@@ -88,11 +88,16 @@ def labelled(rows: list[str]) -> tuple[list[str], list[str]]:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Train on the `sample` documents of smallest hash that may hold a base match and as many others."""
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    may = F.col("text").rlike("(?i)password|passwd|secret|token|api_?key|AKIA")
-    first = lambda of: [r[0] for r in of.orderBy(F.xxhash64("doc_id"), "text").limit(sample // 2).select("text").collect()]
-    return train(*labelled(first(texts.where(may)) + first(texts)))
+    """Train on about `sample` documents of the smallest hashes: half of them any, half such as may hold a base match.
+
+    Both kinds are counted over all documents; a bound on the hash then lets about their shares through."""
+    may = F.coalesce(F.col("text").rlike("(?i)password|passwd|secret|token|api_?key|AKIA"), F.lit(False))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    n = docs.select(F.count("*").alias("all"), F.count_if(may).alias("may")).first()
+    bound = lambda k: int(min(1.0, sample / 2 / max(1, k)) * (1 << 30))
+    rows = docs.where(F.col("text").isNotNull()).select(place.alias("place"), "text", may.alias("may")).where((F.col("place") < bound(n["all"])) | F.col("may") & (F.col("place") < bound(n["may"])))
+    texts = sorted((r["place"], r["text"]) for r in rows.collect())
+    return train(*labelled([text for _, text in texts]))
 
 
 def all_spans(text: str | None, ratio: np.ndarray, min_chars: int = MIN_CHARS, margin: tuple[float, float] = MARGIN) -> list[Span]:
