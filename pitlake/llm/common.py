@@ -57,9 +57,9 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     _remove(spark, path)
 
 
-def staged(df: DataFrame, path: str) -> DataFrame:
+def staged(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """Write df to path and read it back: the lineage ends there, and a lost executor costs no recomputation."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

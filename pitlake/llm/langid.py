@@ -2,7 +2,7 @@
 
 Every learned language has a raw-content zstandard dictionary: whole training texts, in the order of a hash of doc_id
 and without repeats, up to `dict_bytes`. A text is compressed whole with each dictionary; the language whose dictionary
-makes it smallest is predicted, and the prediction is rejected when the runner-up comes within `margin` of it.
+makes it smallest is predicted (both in lower case), and the prediction is rejected when the runner-up comes within `margin` of it.
 
 Only rows chosen for training give texts to dictionaries, about `sample` rows a language at most; the prediction sees
 the text alone. A text that is null or has no letter is `und`. Ties go to the first name. Repeated rows are judged each
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 SAMPLE = 300
 DICT_BYTES = 96 << 10
-LEVEL = 5
+LEVEL = 9
 MARGIN = 0.004
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -47,7 +47,7 @@ def sampled(docs: DataFrame, sample: int = SAMPLE, dict_bytes: int = DICT_BYTES)
     for lang in sorted(counts):
         texts, size = {}, 0
         for r in sorted((r for r in taken if r["lang"] == lang), key=lambda r: (r["place"], r["text"]))[:sample]:
-            raw = r["text"].encode()
+            raw = r["text"].lower().encode()
             if raw not in texts and (not texts or size + len(raw) < dict_bytes):
                 texts[raw] = True
                 size += len(raw) + 1
@@ -62,8 +62,9 @@ class Classifier:
         self.coders = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(contents[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            how = zstandard.ZstdCompressionParameters.from_level(level, strategy=zstandard.STRATEGY_LAZY2, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+            d.precompute_compress(compression_params=how)
+            self.coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
 
     def sizes(self, raw: bytes) -> list[int]:
         return [len(c.compress(raw)) for c in self.coders]
@@ -72,7 +73,7 @@ class Classifier:
         """(language, score, margin): the score is the language's share when a byte more halves a language's weight."""
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, 0.0
-        sizes = self.sizes(text.encode())
+        sizes = self.sizes(text.lower().encode())
         best = min(sizes)
         rest = sorted(sizes)[1:]
         return self.langs[sizes.index(best)], 1 / sum(math.pow(2, max(best - s, -60)) for s in sizes), (rest[0] - best) / best if rest else 1.0
