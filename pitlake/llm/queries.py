@@ -18,6 +18,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), F.col("lang_best").alias("lang_pred"), "score", "margin", F.col("lang").isNull().alias("rejected"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, num=9, den=10)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_table
 
@@ -69,7 +75,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_secret_scan, op5_packing, op6_line_dedup, op7_warc, op8_license_scan, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_quality_rules, op4_secret_scan, op5_packing, op6_line_dedup, op7_warc, op8_license_scan, op9_decontamination)}
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": r"""
