@@ -23,6 +23,7 @@ from .common import BLANK, LOWER, UPPER, drop_dir, shared_dir, staged
 MIN_CHARS = 10
 FANOUT = 3
 BATCHES = 4
+ROWS_A_FILE = 1_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -49,7 +50,7 @@ class LineRuns:
     """The store of line hashes; `path` lies in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout, self.levels, self.made = spark, path, fanout, [], 0
+        self.spark, self.path, self.fanout, self.levels, self.made, self.rows = spark, path, fanout, [], 0, 0
 
     def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
@@ -60,13 +61,15 @@ class LineRuns:
     def _write(self, run: DataFrame, level: int) -> None:
         path = f"{self.path}/run-{self.made}-level-{level}"
         self.made += 1
-        run.sortWithinPartitions("h").write.parquet(path)
+        # A file holds up to ROWS_A_FILE hashes, whatever the number of shuffle partitions; hashes don't compress.
+        run.coalesce(max(1, -(-self.rows // ROWS_A_FILE))).sortWithinPartitions("h").write.option("compression", "uncompressed").parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
 
     def absorb(self, keys: DataFrame) -> None:
         """Take in a batch: (doc, h). Hashes that no run holds become a new run, owned by their smallest doc."""
+        self.rows += keys.count()
         fresh = keys.groupBy("h").agg(F.min("doc").alias("owner"))
         for run in self.runs():
             fresh = fresh.join(self.read(run).select("h").hint("merge"), "h", "left_anti")
@@ -92,7 +95,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
     spark, home = docs.sparkSession, shared_dir(docs.sparkSession)
     cuts = [] if batches < 2 else docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
     number = reduce(lambda c, x: c + F.when(F.col("doc") > x, 1).otherwise(0), sorted(set(cuts)), F.lit(0))
-    keys = staged(keys_of(docs.select("doc_id", "text"), min_chars).withColumn("batch", number), f"{home}/keys")
+    keys = staged(keys_of(docs.select("doc_id", "text"), min_chars).withColumn("batch", number), f"{home}/keys", "uncompressed")
     store = LineRuns(spark, f"{home}/runs", fanout)
     for k in range(len(set(cuts)) + 1):
         store.absorb(keys.where(F.col("batch") == k).select("doc", "h"))
