@@ -75,7 +75,15 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_quality_rules, op4_secret_scan, op5_packing, op6_line_dedup, op7_warc, op8_license_scan, op9_decontamination)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import dedup_substrings
+
+    found = dedup_substrings(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_quality_rules, op4_secret_scan, op5_packing, op6_line_dedup, op7_warc, op8_license_scan, op9_decontamination, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {
     "op6_line_dedup": r"""
