@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from .common import as_bytes, flat, shared_dir, staged
 from .components import as_signed, components
 
-LEAF = 512
+LEAF = 256
 FAN = 8
 BAND = 1.4
 SIZE_BAND = 1.05
 SEEDS = 4
-CHUNK = 8 << 20
+CHUNK = 3 << 20
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 S29, S32 = np.uint64(29), np.uint64(32)
 
