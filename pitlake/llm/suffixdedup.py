@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +31,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_dir, shared_dir, staged
+from .common import as_bytes, bounded, drop_dir, shared_dir, staged
 
 LENGTH = 200
 GRAM = 64
 HOT = 2000
-CHUNK = 4 << 20
-RUN = 24 << 20
+CHUNK = 1 << 20
+RUN = 12 << 20
 BASE = 0x9E3779B97F4A7C15
 SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-@lru_cache(1)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse, modulo 2**64."""
-    out = []
-    for b in (BASE, pow(BASE, -1, 1 << 64)):
-        x = np.full(n, b, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """At least n powers of BASE and of its inverse, modulo 2**64; kept as far as they were ever needed."""
+    if len(_powers[0]) < n:
+        n = 1 << (n - 1).bit_length()
+        for k, b in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            x = np.full(n, b, np.uint64)
+            x[0] = 1
+            _powers[k] = np.multiply.accumulate(x)
+    return _powers
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -63,7 +65,7 @@ def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n bytes from each place on."""
     if len(data) < n:
         return np.zeros(0, np.uint64)
-    up, down = powers(1 << (max(CHUNK, len(data)) - 1).bit_length())
+    up, down = powers(len(data))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
     return mixed((sums[n:] - sums[:-n]) * down[: len(data) - n + 1])
 
@@ -94,7 +96,8 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     whole = first + length <= ends[d]
     first, last, d = first[whole], last[whole], d[whole]
     begin = ends[d] - size[d]
-    return h[anchor[first]], d, first - begin, np.minimum(last, ends[d] - length) - begin
+    # Anchors have small hashes; mixed again they are spread evenly.
+    return mixed(h[anchor[first]]), d, first - begin, np.minimum(last, ends[d] - length) - begin
 
 
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
@@ -259,18 +262,23 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts, ids, size = [], [], 0
+            texts, ids, bases, size = [], [], [], 0
             for text, t in zip([*as_bytes(batch.column(0)), None], [*batch.column(1).to_pylist(), None], strict=True):
-                if (t is None or size > CHUNK) and texts:
-                    g, d, a, b = anchors(texts, length)
-                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.array(ids, np.int64)[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["gram", "t", "first", "last"])
-                    texts, ids, size = [], [], 0
-                if t is not None and t not in seen:
-                    seen.add(t)
-                    if text and len(text) >= length:
-                        texts.append(text)
+                if t is not None and (t in seen or not text or len(text) < length):
+                    continue
+                seen.add(t)
+                # Long texts go in parts that overlap by a window less a byte.
+                for base in range(0, len(text) - length + 1, CHUNK) if text else (None,):
+                    if texts and (base is None or size > CHUNK // 2):
+                        g, d, a, b = anchors(texts, length)
+                        a, b = (x + np.array(bases, np.int64)[d] for x in (a, b))
+                        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.array(ids, np.int64)[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["gram", "t", "first", "last"])
+                        texts, ids, bases, size = [], [], [], 0
+                    if base is not None:
+                        texts.append(text[base : base + CHUNK + length - 1])
                         ids.append(t)
-                        size += len(text)
+                        bases.append(base)
+                        size += len(texts[-1])
 
     places = staged(docs.mapInArrow(sample, "gram long, t long, first int, last int"), f"{home}/anchors")
     grams = staged(places.groupBy("gram").count().where("count > 1").select("gram", (F.col("count") > hot).alias("hot")), f"{home}/grams", "uncompressed")
@@ -284,10 +292,10 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
         entries: dict[bytes, list[tuple[int, int]]] = {}
         hots: set[bytes] = set()
         size = 0
-        for batch in batches:
+        for batch in in_slices(batches):
             at = batch.column(2)
-            offsets = at.offsets.to_numpy()
-            gram, first, last, is_hot = (at.values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            offsets = at.offsets.to_numpy() - at.offsets[0].as_py()
+            gram, first, last, is_hot = (x.to_numpy(zero_copy_only=False) for x in at.flatten().flatten())
             heads = gram.astype(">i8").tobytes()
             first, last, is_hot = first.tolist(), last.tolist(), is_hot.tolist()
             for row, (text, t) in enumerate(zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True)):
@@ -333,7 +341,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
                     found += [(e[1], e[2], e[2] + len(s) - 8) for e in entries if not e[3]]
                 if bucket >= buckets:
                     out.append((s, entries[0], all_known))
-                    if len(out) >= 10_000:
+                    if len(out) >= 2_000:
                         yield hot_rows(out)
                         out = []
                     continue
@@ -380,8 +388,8 @@ def hot_ranges(rows: DataFrame, length: int) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 10_000):
-                batch = whole.slice(k, 10_000)
+            for k in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(k, 2_000)
                 h, which, offset = windows_of(batch.column(0).to_pylist(), length)
                 t, start, known = (batch.column(c).to_numpy() for c in (1, 2, 3))
                 o = np.argsort(h, kind="stable")
@@ -427,6 +435,12 @@ def chain_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal ranges."""
     out: list[tuple[int, int]] = []
@@ -441,6 +455,7 @@ def spans(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, spans (removed byte ranges) and kept (the remaining bytes)."""
     spark = docs.sparkSession
+    bounded(spark)
     home = shared_dir(spark)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     twice = own.select("t", F.octet_length("text").alias("n")).groupBy("t").agg(F.count("*").alias("k"), F.max("n").alias("n")).where((F.col("k") > 1) & (F.col("n") >= length)).select("t", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
@@ -449,7 +464,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
     span = pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             n, gone, kept = [], [], []
             for text, found in zip(as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 s = spans([(x["start"], x["end"]) for x in found or ()])
