@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +54,27 @@ def _clean() -> None:
             return
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, wherever it lies; once for a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_pitlake_shipped", False):
+        return
+    root = Path(__file__).parent.parent
+    target = Path(tempfile.mkdtemp(prefix="pitlake-code-")) / "pitlake_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(str(target))
+    sc._pitlake_shipped = True
+
+
+def bounded(spark: SparkSession) -> None:
+    """Prepare a session for Python stages: ship the code, and keep what passes between Spark and Python small, since a batch is held several times over while it is worked on."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def drop_dir(spark: SparkSession, path: str) -> None:
     """Delete a folder that shared_dir() made and that no frame reads any more."""
     _remove(spark, path)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import bounded, shared_dir, staged
 
 
 def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -44,6 +44,7 @@ def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """edges: (a, b) longs. Returns (v, label): each vertex that has an edge, with the smallest vertex of its component."""
     spark = edges.sparkSession
+    bounded(spark)
     home = shared_dir(spark)
     labels, rounds = None, 0
     e = staged(edges.where("a <> b").mapInArrow(thinned, "a long, b long"), f"{home}/edges-0")

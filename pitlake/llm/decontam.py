@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, UPPER, as_bytes
+from .common import ALNUM, LOWER, UPPER, as_bytes, bounded
 
 WINDOW = 10
 SHINGLE = 5
@@ -168,6 +168,7 @@ def find(texts: list[bytes | None], blocks: list[Block]) -> list[tuple[int, int,
 
 def blocks_of(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> list:
     """The benchmark's blocks, broadcast; their windows know their rarest shingles over all documents."""
+    bounded(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     pairs = windows(benchmark, window)
     n = -(-pairs.count() // block)

@@ -20,6 +20,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 SAMPLE = 300
 DICT_BYTES = 96 << 10
 LEVEL = 9
@@ -81,6 +83,7 @@ class Classifier:
 
 def identify(docs: DataFrame, contents: dict[str, bytes], level: int = LEVEL, margin: float = MARGIN) -> DataFrame:
     """Per document: doc_id, lang_best, score, margin and lang, which is null where the margin is too narrow."""
+    bounded(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(contents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

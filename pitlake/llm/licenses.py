@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ALNUM, as_bytes
+from .common import ALNUM, as_bytes, bounded
 
 # The base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -164,6 +164,7 @@ class Scanner:
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_match: int = MIN_MATCH, max_gap: int = MAX_GAP, coverage: float = COVERAGE) -> DataFrame:
     """Per document: doc_id, n_words, phrases (start, label) and spans (start, end, label, covered)."""
+    bounded(docs.sparkSession)
     scanner = Scanner(templates or TEMPLATES, min_match, max_gap, coverage)
     phrase, span = pa.struct({"start": pa.int64(), "label": pa.string()}), pa.struct({"start": pa.int64(), "end": pa.int64(), "label": pa.string(), "covered": pa.float64()})
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import bounded
+
 CAPACITY = 1024
 END = 2
 OPEN_BINS = 4096
@@ -117,6 +119,7 @@ def cuts(n: int, capacity: int) -> Iterator[tuple[int, int]]:
 
 def pack(docs: DataFrame, tokenizer: tuple[str, ...] | None = None, capacity: int = CAPACITY, end_id: int = END, open_bins: int = OPEN_BINS) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset."""
+    bounded(docs.sparkSession)
     tokenizer = tokenizer or default_tokenizer()
     names = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded
+
 # The base patterns and the least length of what must match.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -120,6 +122,7 @@ def all_spans(text: str | None, ratio: np.ndarray, min_chars: int = MIN_CHARS, m
 
 def scan_secrets(docs: DataFrame, sample: int = SAMPLE, min_chars: int = MIN_CHARS, margin: tuple[float, float] = MARGIN) -> DataFrame:
     """Per document: doc_id and spans, an array of (kind, start, end)."""
+    bounded(docs.sparkSession)
     ratio = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import bounded, shared_dir, staged
 
 # Gzip and WARC formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -64,6 +64,7 @@ def page_record(page_id: object, url: str | None, payload: bytes, refers_to: obj
 
 def write_warc(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, date: str = DATE) -> DataFrame:
     """Write pages (page_id, url, html) to archives below folder. Returns one row per archive: path, bytes, records."""
+    bounded(pages.sparkSession)
     slim = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
     owners = slim.where(F.col("n") >= min_revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("owner"), F.count("*").alias("k")).where("k > 1").select("sha", "owner")
     # The owners are written first: joined to a plain table, a hot payload's pages can be split among tasks.
@@ -174,6 +175,7 @@ def range_records(file: pa.NativeFile, size: int, start: int, end: int) -> Itera
 
 def read_warc(archives: DataFrame, range_bytes: int = RANGE, payloads: bool = True) -> DataFrame:
     """Records of archives (path, bytes): record_id, type, url, payload_bytes, payload_digest, refers_to, payload."""
+    bounded(archives.sparkSession)
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     ranges = ranges.withColumn("end", F.least(F.col("start") + range_bytes, "bytes")).repartition(max(8, archives.sparkSession.sparkContext.defaultParallelism * 2))
     names = ["record_id", "type", "url", "payload_bytes", "payload_digest", "refers_to", "payload"]
