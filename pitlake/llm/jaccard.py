@@ -6,9 +6,10 @@ only classes are joined. Two sets link when their overlap reaches num/den of the
 1. Blocks. Linked sets differ in at most H elements, where H follows from the sizes. Hash-dealt into H + 1 + m parts, two
    linked sets agree in at least m + 1 parts, so they agree in a part with more than one element unless both have more
    than m weaker parts (then they go on to another dealing, at last with their weak parts). Each class emits a
-   signature of every strong part: documents with a common signature form a candidate cluster, and no link leaves it.
-   Sizes are taken in bands, and a class near the next band is dealt there too. Equal signatures meet first inside a
-   task, so a hot one sends a row a batch.
+   signature of every strong part; sizes are taken in bands, and a class near the next band is dealt there too. Where a
+   low threshold would make parts small, a class emits its prefix instead, the least elements of which two linked sets
+   share one. Documents with a common signature form a candidate cluster, and no link leaves it. Equal signatures meet
+   first inside a task, so a hot one sends a row a batch.
 2. Clusters are the components of the candidates. One of more than `leaf` classes is cut into nodes by size range and
    salt; node pairs whose size ranges allow no link are never formed. All rows of a pair of nodes make one bounded group.
 3. A group's classes hang in a signature tree: each node has the OR of its classes' token bitmaps, its size range and
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, flat, shared_dir, staged
+from .common import as_bytes, bounded, flat, shared_dir, staged
 from .components import as_signed, components
 
 LEAF = 256
@@ -69,29 +70,47 @@ def class_of(s: np.ndarray) -> int:
 
 
 class Scheme:
-    """How sets are dealt into parts, by size band."""
+    """What sets of a size emit, by size band: parts of a dealing where parts hold five elements or more, else the prefix."""
 
     def __init__(self, num: int, den: int, most: int = 1 << 24):
         self.low = [1]
         while self.low[-1] < most:
             self.low.append(max(self.low[-1] + 1, -(-self.low[-1] * 14 // 10)))
-        top = np.array(self.low[1:]) - 1
-        h = 2 * top * (den - num) // (den + num)
-        self.spare = np.where(h < 4, 1, 3)
-        self.parts = np.where(h > 0, h + 1 + self.spare, 0)  # none where only equal sets link
         self.num, self.den = num, den
+        parts, spare, some = [], [], []
+        for low, up in zip(self.low, self.low[1:], strict=False):
+            h = 2 * (up - 1) * (den - num) // (den + num)
+            for m in range(1, max(2, h // 4) + 1):  # enough spare parts that few sets have more weak ones
+                mean = low / (h + 1 + m)
+                weak = (h + 1 + m) * np.exp(-mean) * (1 + mean)
+                if m >= weak + 2 * np.sqrt(weak):
+                    break
+            some.append(h > 0)  # elsewhere only equal sets link
+            parts.append(h + 1 + m if low >= 5 * (h + 1) else 0)
+            spare.append(m)
+        self.some, self.parts, self.spare = some, np.array(parts), np.array(spare)
 
     def bands(self, size: int) -> list[int]:
         """The bands in which a set of this size meets others of its size or larger."""
         i = int(np.searchsorted(self.low, size, "right")) - 1
         both = [i, i + 1] if size * self.den >= self.num * self.low[i + 1] else [i]
-        return [b for b in both if self.parts[b]]
+        return [b for b in both if self.some[b]]
+
+    def prefix(self, size: int) -> int:
+        """Linked sets share an element among so many of each one's least elements."""
+        return size - -(-self.num * size // self.den) + 1
 
 
 def signatures(sets: list[np.ndarray], names: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, class) of the sets' parts."""
-    jobs = [(d, b) for d, s in enumerate(sets) if len(s) for b in scheme.bands(len(s))]
-    out_sig, out_name = [], []
+    """(signature, class) of what the sets emit."""
+    jobs, out_sig, out_name = [], [], []
+    for d, s in enumerate(sets):
+        bands = scheme.bands(len(s)) if len(s) else []
+        jobs += [(d, b) for b in bands if scheme.parts[b]]
+        if any(not scheme.parts[b] for b in bands):
+            n = scheme.prefix(len(s))
+            out_sig.append(mixed(s[:n] + A))
+            out_name.append(np.full(n, names[d]))
     for seed in range(SEEDS):
         if not jobs:
             break
@@ -238,7 +257,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
 
 
 def classes(docs: DataFrame, words: int) -> DataFrame:
-    """Per row: doc_id, n (set size), c (class; null without a set)."""
+    """Per row: doc_id, t (hash of the text), n (set size), c (class; null without a set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,9 +266,9 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
                 s = shingle_set(text, words)
                 n.append(len(s))
                 c.append(class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "n", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(c, pa.int64())], ["doc_id", "t", "n", "c"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, c long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, n long, c long")
 
 
 def candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -313,12 +332,12 @@ def grouped(members: DataFrame, num: int, den: int, leaf: int) -> DataFrame:
 
 
 def verified(docs: DataFrame, members: DataFrame, words: int, num: int, den: int, leaf: int) -> DataFrame:
-    """(a, b): links that connect all linked classes of the members (c, cluster, n, doc_id: a document of the class)."""
+    """(a, b): links that connect all linked classes of the members (c, cluster, n, doc_id and t: a row of the class)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, 3):
             one = {(r[3], r[4]): r[5] for r in group}  # a class once, however many of its rows came
-            if len(one) < 2:
+            if len(one) < 2 or group[0][1] != group[0][2] and len({side for side, _ in one}) < 2:
                 continue
             found = links([c for _, c in one], [s for s, _ in one], [shingle_set(t.encode(), words) for t in one.values()], num, den)
             if found:
@@ -326,18 +345,19 @@ def verified(docs: DataFrame, members: DataFrame, words: int, num: int, den: int
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     with_keys = grouped(members, num, den, leaf)
-    texts = docs.select(F.col("doc_id").alias("d"), "text").join(with_keys, F.col("d") == F.col("doc_id"))
+    texts = docs.select(F.col("doc_id").alias("d"), "text", F.xxhash64("text").alias("h")).join(with_keys, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("t")))
     rows = texts.select("cluster", F.explode("pairs").alias("p"), "c", "text").select("cluster", "p.x", "p.y", "p.side", "c", "text")
     return rows.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, num: int = 8, den: int = 10, leaf: int = LEAF) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    bounded(docs.sparkSession)
     home = shared_dir(docs.sparkSession)
     own = staged(classes(docs, words), f"{home}/classes")
     clusters = components(candidates(docs, words, num, den))
-    first = own.where("c is not null and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    members = staged(clusters.select(F.col("v").alias("c"), F.col("label").alias("cluster")).join(first, "c"), f"{home}/members")
+    first = own.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "t", "n")).alias("r"))
+    members = staged(clusters.select(F.col("v").alias("c"), F.col("label").alias("cluster")).join(first, "c").select("c", "cluster", "r.doc_id", "r.t", "r.n"), f"{home}/members")
     linked = components(staged(verified(docs, members, words, num, den, leaf), f"{home}/links"))
     named = staged(own.join(linked.select(F.col("v").alias("c"), "label"), "c", "left").select("doc_id", "n", F.coalesce("label", "c").alias("label")), f"{home}/labels")
     least = staged(named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), f"{home}/least")
