@@ -2,9 +2,10 @@
 
 The models are bigram chains over [A-Za-z0-9+/_=-]. One learns from labelled random strings (what the base patterns
 capture), the other from labelled ordinary identifiers (the other long words), both in a bounded sample of documents:
-about `sample` of the smallest hashes of doc_id. Add-`PRIOR` smoothing draws the first towards uniform characters, which is what
-a random string is. A run of at least `min_chars` such characters outside the base spans is a secret of kind `random`
-when it has a digit and its log-likelihood ratio exceeds `margin`, both a run and a character.
+about `sample` of the smallest hashes of doc_id. A chain backs off to its single characters (with weight `BACK`), and
+these to uniform ones (with `PRIOR`). A run of at least `min_chars` such characters outside the base spans is a secret
+of kind `random` when it has a digit and a letter or sign, and its log-likelihood ratio exceeds `margin`, both in all and
+per character.
 
 A null text counts as empty. Spans are code points, end exclusive. Repeated rows are judged each by itself. An empty
 table gives an empty result; without samples the models are uniform and find nothing beyond the base.
@@ -40,6 +41,7 @@ IS_RUN = bytes(120 if chr(b) in CHARS else 32 for b in range(256))
 SAMPLE = 1000
 MIN_CHARS = 20
 PRIOR = 0.5
+BACK = 8.0
 MARGIN = (12.0, 0.4)
 
 Span = tuple[int, int, int]  # start, kind, end
@@ -72,7 +74,9 @@ def train(random: list[str], ordinary: list[str]) -> np.ndarray:
         return np.zeros((len(CHARS) + 1, len(CHARS) + 1))
     logs = []
     for strings in (random, ordinary):
-        n = bigrams(strings) + PRIOR
+        n = bigrams(strings)
+        one = n.sum(0) + PRIOR
+        n += BACK * one / one.sum()
         logs.append(np.log(n / n.sum(1, keepdims=True)))
     return logs[0] - logs[1]
 
