@@ -362,77 +362,60 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
             if out:
                 yield hot_rows(out)
 
-    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-        bucket, blobs = None, []
-        for batch in batches:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if b != bucket:
-                    if blobs:
-                        yield bucket, blobs
-                    bucket, blobs = b, []
-                blobs.append(blob)
-        if blobs:
-            yield bucket, blobs
-
     def hot_rows(rows: list[tuple[bytes, Entry, bool]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([-2] * len(rows), pa.int32()), pa.array([s for s, _, _ in rows], pa.binary()), pa.array([e[1] for _, e, _ in rows], pa.int64()), pa.array([e[2] for _, e, _ in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([int(k) for _, _, k in rows], pa.int32())], schema=OUT)
 
     merged = staged(runs.where("bucket >= 0").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, OUT_SQL), f"{home}/merged")
-    hot_windows = hot_ranges(merged.where("bucket = -2").select("blob", "t", "start", "known"), length)
+    hot_windows = hot_ranges(merged.where("bucket = -2").select("blob", "t", "start", "known"), buckets, home, length)
     found = lambda x: x.where("bucket = -1").select("t", "start", "end")
     return found(runs).union(found(merged)).union(hot_windows)
 
 
-def hot_ranges(rows: DataFrame, length: int) -> DataFrame:
-    """Windows of hot suffixes (blob, t, start, known) that occur twice, found in a shuffle by window."""
+def hot_ranges(rows: DataFrame, buckets: int, home: str, length: int) -> DataFrame:
+    """Windows of hot suffixes (blob, t, start, known) that occur twice, found in a shuffle by ranges of window hashes.
+
+    Windows that a batch repeats are found there, as ranges; one of each goes on, marked, in a packed row per bucket."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 2_000):
-                batch = whole.slice(k, 2_000)
-                h, which, offset = windows_of(batch.column(0).to_pylist(), length)
-                t, start, known = (batch.column(c).to_numpy() for c in (1, 2, 3))
-                o = np.argsort(h, kind="stable")
-                h, which, offset = h[o], which[o], offset[o]
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
-                group = np.cumsum(new) - 1
-                twice = (np.bincount(group) > 1)[group]
-                any_known = (np.bincount(group, known[which]) > 0)[group]
-                # Windows repeated in this batch are found here; one of each goes on, marked.
-                done = np.flatnonzero((twice | any_known) & (known[which] == 0))
-                one = np.flatnonzero(new)
-                pick = np.concatenate((done, one))
-                kind = np.concatenate((np.full(len(done), 2), (twice | any_known)[one]))
-                yield pa.RecordBatch.from_arrays([pa.array(h[pick].view(np.int64)), pa.array(t[which[pick]]), pa.array(start[which[pick]] + offset[pick]), pa.array(kind.astype(np.int32))], ["h", "t", "at", "kind"])
+        for batch in in_slices(batches, 2000):
+            h, which, offset = windows_of(batch.column(0).to_pylist(), length)
+            t, start, known = (batch.column(c).to_numpy() for c in (1, 2, 3))
+            _, one, group, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            twice = (n > 1) | (np.bincount(group, known[which]) > 0)
+            done = twice[group] & (known[which] == 0)
+            yield found_rows([(int(t[k]), int(start[k]) + x, int(start[k]) + y) for k, x, y in ranges(which[done], offset[done], length)])
+            to = ((h[one] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending, as h[one] is
+            cut = np.searchsorted(to, np.arange(buckets + 1))
+            sent = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            packed = [pickle.dumps(tuple(x[cut[b] : cut[b + 1]] for x in (h[one], t[which[one]], start[which[one]] + offset[one], twice))) for b in sent]
+            n = len(sent)
+            yield pa.RecordBatch.from_arrays([pa.array(sent, pa.int32()), pa.array(packed, pa.binary()), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.int32())], schema=OUT)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in chain_none(batches):
-            rows = None if batch is None else [batch.column(k).to_numpy() for k in range(4)]
-            if rows is not None and held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            elif rows is None:
-                rows = held
-            if rows is None or not len(rows[0]):
-                continue
-            keep = len(rows[0]) if batch is None else int(np.searchsorted(rows[0], rows[0][-1]))  # the last window may go on in the next batch
-            held = [x[keep:] for x in rows]
-            h, t, at, kind = (x[:keep] for x in rows)
-            if not len(h):
-                continue
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            group = np.cumsum(new) - 1
-            twice = (np.bincount(group, kind != 2) > 1)[group] & (kind == 0) | (np.bincount(group, kind == 1) > 0)[group] & (kind == 0) | (kind == 2)
-            yield pa.RecordBatch.from_arrays([pa.array(t[twice]), pa.array(at[twice]), pa.array(at[twice] + length)], ["t", "start", "end"])
-
-    return rows.mapInArrow(emit, "h long, t long, at long, kind int").repartition("h").sortWithinPartitions("h").mapInArrow(meet, "t long, start long, end long")
-
-
-def chain_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+        for _, blobs in by_bucket(batches):
+            h, t, at, twice = (np.concatenate(x) for x in zip(*map(pickle.loads, blobs), strict=True))
+            _, group, n = np.unique(h, return_inverse=True, return_counts=True)
+            more = ((n > 1) | (np.bincount(group, twice) > 0))[group] & ~twice
+            o = np.lexsort((at[more], t[more]))
+            yield found_rows([(t_, x, y) for t_, x, y in ranges(t[more][o], at[more][o], length)])
+
+    windows = staged(rows.mapInArrow(emit, OUT_SQL), f"{home}/windows")
+    met = windows.where("bucket >= 0").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, OUT_SQL)
+    return windows.where("bucket = -1").unionAll(met).select("t", "start", "end")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """The blobs of each bucket, from sorted batches."""
+    bucket, blobs = None, []
+    for batch in batches:
+        for b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if b != bucket:
+                if blobs:
+                    yield bucket, blobs
+                bucket, blobs = b, []
+            blobs.append(blob)
+    if blobs:
+        yield bucket, blobs
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
