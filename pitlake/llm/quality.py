@@ -56,7 +56,6 @@ def base_metrics(text: Column) -> Column:
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANK))) > 0)
     return F.struct(
         words.alias("words"),
-        F.size(words).cast("long").alias("n_words"),
         (F.length(body) - count_of(body, BLANK)).alias("word_chars"),
         count_of(body, SYMBOLS).alias("n_symbols"),
         lines.alias("lines"),
@@ -88,20 +87,25 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(n > window, once(each(words), lambda w: once(hashes(w), found))).otherwise(F.lit(0).cast("long"))
 
 
+def held(x: Column) -> Column:
+    """x, which is dear to compute. Spark copies no expression that isn't deterministic into its uses; this one's test always holds."""
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
 def with_metrics(docs: DataFrame, into: str) -> DataFrame:
     """docs and a struct column `into` with all counts, the base verdict and the judged metrics."""
-    a = docs.withColumn(into, base_metrics(F.col("text")))
+    a = docs.withColumn(into, held(base_metrics(F.col("text"))))
     m = F.col(into)
-    a = a.withColumn(into, F.struct(m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), F.size(m["lines"]).cast("long").alias("n_lines"), (F.size(m["lines"]) - F.size(F.array_distinct(m["lines"]))).cast("long").alias("n_dup_lines"), m["n_exclaims"].alias("n_exclaims"), repeat_words(m["words"]).alias("n_repeat_words")))
+    a = a.withColumn(into, held(F.struct(F.size(m["words"]).cast("long").alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), F.size(m["lines"]).cast("long").alias("n_lines"), (F.size(m["lines"]) - F.size(F.array_distinct(m["lines"]))).cast("long").alias("n_dup_lines"), m["n_exclaims"].alias("n_exclaims"), repeat_words(m["words"]).alias("n_repeat_words"))))
     share = lambda x, of: F.when(of > 0, F.floor(x * 1000 / F.when(of > 0, of))).otherwise(0).cast("long")
     return a.withColumn(
         into,
-        F.struct(
+        held(F.struct(
             m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"),
             ((m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT)).alias("base_failed"),
             share(m["word_chars"], m["n_words"]).alias("word_length"), share(m["n_symbols"], m["n_words"]).alias("symbols"), share(m["n_dup_lines"], m["n_lines"]).alias("dup_lines"),
             share(m["n_repeat_words"], m["n_words"]).alias("repeats"), share(m["n_exclaims"], m["n_words"]).alias("exclaims"),
-        ),
+        )),
     )
 
 
