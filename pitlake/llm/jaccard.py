@@ -7,8 +7,9 @@ only classes are joined. Two sets link when their overlap reaches num/den of the
    linked sets agree in at least m + 1 parts, so they agree in a part with more than one element unless both have more
    than m weaker parts (then they go on to another dealing, at last with their weak parts). Each class emits a
    signature of every strong part; sizes are taken in bands, and a class near the next band is dealt there too. Where a
-   low threshold would make parts small, a class emits its prefix instead, the least elements of which two linked sets
-   share one. Documents with a common signature form a candidate cluster, and no link leaves it. Equal signatures meet
+   low threshold would make parts small, a class emits its prefix instead: its rarest elements, of which two linked sets
+   share one. Rarity comes from a counting sketch of fixed size over all documents; any order that all sets share would
+   lose no link. Documents with a common signature form a candidate cluster, and no link leaves it. Equal signatures meet
    first inside a task, so a hot one sends a row a batch.
 2. Clusters are the components of the candidates. One of more than `leaf` classes is cut into nodes by size range and
    salt; node pairs whose size ranges allow no link are never formed. All rows of a pair of nodes make one bounded group.
@@ -41,6 +42,8 @@ BAND = 1.4
 SIZE_BAND = 1.05
 SEEDS = 4
 CHUNK = 3 << 20
+CELL_BITS, SEGMENT_BITS = 24, 6
+SEGMENTS = 1 << SEGMENT_BITS
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 S29, S32 = np.uint64(29), np.uint64(32)
 
@@ -101,16 +104,59 @@ class Scheme:
         return size - -(-self.num * size // self.den) + 1
 
 
-def signatures(sets: list[np.ndarray], names: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
+def cell(tokens: np.ndarray) -> np.ndarray:
+    """Where a token is counted."""
+    return (mixed(tokens + C) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def rarities(docs: DataFrame, words: int) -> np.ndarray:
+    """For each cell, how many sets hold a token of it, 255 at most: a counting sketch of fixed size over all documents.
+
+    A cell's count is never too low, so a token in a cell of count 1 has no other set. Tasks add up their own sets and
+    send the cells they met, by segment."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << CELL_BITS, np.uint8)
+        for batch in batches:
+            texts = as_bytes(batch.column(0))
+            for part in in_chunks(texts):
+                at, n = np.unique(cell(flat([shingle_set(texts[k], words) for k in part], np.uint64)), return_counts=True)
+                held[at] = np.minimum(held[at] + n, 255)
+        at = np.flatnonzero(held)
+        cut = np.searchsorted(at, np.arange(SEGMENTS + 1) << (CELL_BITS - SEGMENT_BITS))
+        for k in range(SEGMENTS):
+            if cut[k] < cut[k + 1]:
+                x = at[cut[k] : cut[k + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(x - (k << (CELL_BITS - SEGMENT_BITS))).astype("<u4").tobytes()]), pa.array([held[x].tobytes()])], ["segment", "at", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, 1):
+            total = np.zeros(1 << (CELL_BITS - SEGMENT_BITS), np.int64)
+            for _, at, n in group:
+                total[np.frombuffer(at, "<u4")] += np.frombuffer(n, np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([group[0][0]], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])], ["segment", "n"])
+
+    parts = docs.select("text").mapInArrow(count, "segment int, at binary, n binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(add, "segment int, n binary")
+    out = np.zeros((SEGMENTS, 1 << (CELL_BITS - SEGMENT_BITS)), np.uint8)
+    for r in parts.collect():  # SEGMENTS rows, 1 << CELL_BITS bytes in all
+        out[r["segment"]] = np.frombuffer(r["n"], np.uint8)
+    return out.ravel()
+
+
+def signatures(sets: list[np.ndarray], names: np.ndarray, scheme: Scheme, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signature, class) of what the sets emit."""
     jobs, out_sig, out_name = [], [], []
     for d, s in enumerate(sets):
         bands = scheme.bands(len(s)) if len(s) else []
         jobs += [(d, b) for b in bands if scheme.parts[b]]
         if any(not scheme.parts[b] for b in bands):
-            n = scheme.prefix(len(s))
-            out_sig.append(mixed(s[:n] + A))
-            out_name.append(np.full(n, names[d]))
+            first = s[: scheme.prefix(len(s))]
+            if rarity is not None:
+                n = rarity[cell(s)]
+                first = s[np.lexsort((s, n))[: len(first)]]
+                first = first[rarity[cell(first)] > 1]
+            out_sig.append(mixed(first + A))
+            out_name.append(np.full(len(first), names[d]))
     for seed in range(SEEDS):
         if not jobs:
             break
@@ -274,6 +320,8 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
 def candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """(a, b): edges that connect all classes with a common signature."""
     scheme = Scheme(num, den)
+    by_prefix = any(some and not parts for some, parts in zip(scheme.some, scheme.parts, strict=True))
+    sent = docs.sparkSession.sparkContext.broadcast(rarities(docs, words)) if by_prefix else None
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # this task's classes: repeated texts emit nothing more
@@ -287,7 +335,7 @@ def candidates(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                         seen.add(c)
                         sets.append(s)
                         names.append(c)
-                sig, lead, a, b = stars(*signatures(sets, np.array(names, np.int64), scheme))
+                sig, lead, a, b = stars(*signatures(sets, np.array(names, np.int64), scheme, sent.value if sent else None))
                 key = np.concatenate((as_signed(sig), a))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.concatenate((lead, a))), pa.array(np.concatenate((lead, b)))], ["key", "a", "b"])
 
