@@ -42,7 +42,7 @@ BAND = 1.4
 SIZE_BAND = 1.05
 SEEDS = 4
 CHUNK = 3 << 20
-CELL_BITS, SEGMENT_BITS = 24, 6
+CELL_BITS, SEGMENT_BITS = 26, 6
 SEGMENTS = 1 << SEGMENT_BITS
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 S29, S32 = np.uint64(29), np.uint64(32)
@@ -110,10 +110,11 @@ def cell(tokens: np.ndarray) -> np.ndarray:
 
 
 def rarities(docs: DataFrame, words: int) -> np.ndarray:
-    """For each cell, how many sets hold a token of it, 255 at most: a counting sketch of fixed size over all documents.
+    """For each cell, how many sets hold a token of it, 3 at most, in two bits: a counting sketch of fixed size over all documents.
 
     A cell's count is never too low, so a token in a cell of count 1 has no other set. Tasks add up their own sets and
     send the cells they met, by segment."""
+    cells = 1 << (CELL_BITS - SEGMENT_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << CELL_BITS, np.uint8)
@@ -121,28 +122,45 @@ def rarities(docs: DataFrame, words: int) -> np.ndarray:
             texts = as_bytes(batch.column(0))
             for part in in_chunks(texts):
                 at, n = np.unique(cell(flat([shingle_set(texts[k], words) for k in part], np.uint64)), return_counts=True)
-                held[at] = np.minimum(held[at] + n, 255)
-        at = np.flatnonzero(held)
-        cut = np.searchsorted(at, np.arange(SEGMENTS + 1) << (CELL_BITS - SEGMENT_BITS))
+                held[at] = np.minimum(held[at] + n, 3)
         for k in range(SEGMENTS):
-            if cut[k] < cut[k + 1]:
-                x = at[cut[k] : cut[k + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(x - (k << (CELL_BITS - SEGMENT_BITS))).astype("<u4").tobytes()]), pa.array([held[x].tobytes()])], ["segment", "at", "n"])
+            own = held[k * cells : (k + 1) * cells]
+            x = np.flatnonzero(own)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype("<u4").tobytes()]), pa.array([own[x].tobytes()])], ["segment", "at", "n"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runs(batches, 1):
-            total = np.zeros(1 << (CELL_BITS - SEGMENT_BITS), np.int64)
-            for _, at, n in group:
-                total[np.frombuffer(at, "<u4")] += np.frombuffer(n, np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([group[0][0]], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()])], ["segment", "n"])
+        last, total = None, np.zeros(cells, np.uint8)
+
+        def done() -> pa.RecordBatch:
+            four = total.reshape(-1, 4)
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([(four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()])], ["segment", "n"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                segment = batch.column(0)[row].as_py()
+                if last is not None and segment != last:
+                    yield done()
+                    total[:] = 0
+                last = segment
+                at = np.frombuffer(batch.column(1)[row].as_buffer(), "<u4")
+                total[at] = np.minimum(total[at] + np.frombuffer(batch.column(2)[row].as_buffer(), np.uint8), 3)
+        if last is not None:
+            yield done()
 
     parts = docs.select("text").mapInArrow(count, "segment int, at binary, n binary").repartition("segment").sortWithinPartitions("segment").mapInArrow(add, "segment int, n binary")
-    out = np.zeros((SEGMENTS, 1 << (CELL_BITS - SEGMENT_BITS)), np.uint8)
-    for r in parts.collect():  # SEGMENTS rows, 1 << CELL_BITS bytes in all
+    out = np.zeros((SEGMENTS, cells // 4), np.uint8)
+    for r in parts.collect():  # SEGMENTS rows, a quarter of 1 << CELL_BITS bytes in all
         out[r["segment"]] = np.frombuffer(r["n"], np.uint8)
     return out.ravel()
 
 
+def level(rarity: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The counts of the tokens' cells."""
+    at = cell(tokens)
+    return rarity[at >> 2] >> ((at & 3) << 1).astype(np.uint8) & 3
+
+
 def signatures(sets: list[np.ndarray], names: np.ndarray, scheme: Scheme, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(signature, class) of what the sets emit."""
     jobs, out_sig, out_name = [], [], []
@@ -152,9 +170,8 @@ def signatures(sets: list[np.ndarray], names: np.ndarray, scheme: Scheme, rarity
         if any(not scheme.parts[b] for b in bands):
             first = s[: scheme.prefix(len(s))]
             if rarity is not None:
-                n = rarity[cell(s)]
-                first = s[np.lexsort((s, n))[: len(first)]]
-                first = first[rarity[cell(first)] > 1]
+                first = s[np.lexsort((s, level(rarity, s)))[: len(first)]]
+                first = first[level(rarity, first) > 1]
             out_sig.append(mixed(first + A))
             out_name.append(np.full(len(first), names[d]))
     for seed in range(SEEDS):
