@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,11 +17,11 @@ from pyspark.sql import functions as F
 from .common import bounded, shared_dir, staged
 
 
-def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+def forest(a: list, b: list) -> tuple[list, list]:
     """A star for each component of a few edges: (vertex, smallest vertex)."""
-    up: dict[int, int] = {}
+    up: dict = {}
 
-    def root(x: int) -> int:
+    def root(x):  # noqa: ANN001, ANN202  a long or bytes
         while (y := up.setdefault(x, x)) != x:
             up[x] = x = up[y]
         return x
@@ -38,16 +37,18 @@ def forest(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
 def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = forest(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        kind = batch.schema.field(0).type
+        yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], ["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: (a, b) longs. Returns (v, label): each vertex that has an edge, with the smallest vertex of its component."""
+    """edges: (a, b), longs or binary. Returns (v, label): each vertex that has an edge, with the smallest vertex of its component."""
     spark = edges.sparkSession
     bounded(spark)
     home = shared_dir(spark)
     labels, rounds = None, 0
-    e = staged(edges.where("a <> b").mapInArrow(thinned, "a long, b long"), f"{home}/edges-0")
+    kind = edges.schema["a"].dataType.simpleString()
+    e = staged(edges.where("a <> b").mapInArrow(thinned, f"a {kind}, b {kind}"), f"{home}/edges-0")
     while labels is None or e.count():
         least = e.select(F.col("a").alias("v"), F.col("b").alias("w")).union(e.select("b", "a")).groupBy("v").agg(F.min("w").alias("w")).select("v", F.least("v", "w").alias("to"))
         least = staged(least, f"{home}/least-{rounds}")
@@ -62,7 +63,3 @@ def components(edges: DataFrame) -> DataFrame:
         e = staged(e.join(at("a"), "a").join(at("b"), "b").where("a_to <> b_to").select(F.col("a_to").alias("a"), F.col("b_to").alias("b")).distinct(), f"{home}/edges-{rounds + 1}")
         rounds += 1
     return labels
-
-
-def as_signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)

@@ -344,11 +344,80 @@ def test_jaccard(spark, rough, n, num, den, leaf):
     assert key((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == key(r for r in brute_components(rows, n, num, den))
 
 
+def one_each(rows):
+    """(doc_id, text) of the rows that stay: of each component the least id, and of its texts one; ids alone where texts of one id and component differ."""
+    sets = brute_components(rows, 5, 8, 10)
+    label = {}
+    for (i, t), (_, n, c) in zip(rows, sets, strict=True):
+        label.setdefault((i, t), (n, c))
+    out = [(i, t) for i, t in rows if i is None]
+    return out + sorted({(i, t) for (i, t), (n, c) in label.items() if i is not None and (not n or i == c)}, key=repr)
+
+
 def test_one_of_each(spark, rough):
     rows = [*rough, *near_copies(4)]
     got = jaccard.one_of_each(clashing(table(spark, rows)))
-    least = {(i, c) for i, _, c in brute_components(rows, 5, 8, 10) if i is not None}
-    assert key(r.doc_id for r in got.collect()) == key([*{i for i, c in least if i == c}, None, None, None])
+    assert got.columns == clashing(table(spark, rows)).columns
+    assert key((r.doc_id, r.text) for r in got.collect()) == key(one_each(rows))
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 60), prose(rng, 60)
+    rows = [(1, a), (1, b), (2, a), (2, a), (3, None), (3, None), (3, ""), (4, b + " x"), (4, b + " y"), (None, a), (None, a)]
+    got = jaccard.one_of_each(table(spark, rows))
+    assert key((r.doc_id, r.text) for r in got.collect()) == key([(1, a), (1, b), (3, None), (3, ""), (None, a), (None, a)])
+
+
+def test_classes_with_one_short_name(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "class_of", lambda s: b"\0" * 7 + bytes([len(s) % 2]) + hashlib.md5(s.tobytes()).digest()[:8])  # noqa: S324
+    rows = near_copies(5, 12)
+    got = jaccard.jaccard_components(table(spark, rows))
+    assert key((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == key(brute_components(rows, 5, 8, 10))
+
+
+def test_every_linked_pair_meets():
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    for num, den in ((9, 10), (8, 10), (1, 2)):
+        scheme, met = jaccard.Scheme(num, den), 0
+        for n in [*range(2, 40), *range(40, 900, 23)]:
+            x = np.unique(new(n))
+            for k in range(6):
+                d = int(rng.integers(0, n * (den - num) // den + 2))
+                y = np.delete(x, rng.choice(n, min(n, d) if k % 3 else 0, replace=False))
+                y = np.unique(np.concatenate((y, new(d if k % 3 != 1 else 0))))
+                o = len(np.intersect1d(x, y))
+                if o < n and den * o >= num * (len(x) + len(y) - o):
+                    sig, which = jaccard.signatures([x, y], scheme)
+                    assert len(np.intersect1d(sig[which == 0], sig[which == 1]))
+                    met += 1
+        assert met > 50
+    assert jaccard.Scheme(8, 10).bands(30_000_000)
+
+
+def test_large_clusters_send_each_text_a_few_times(spark):
+    """Copies of one text, each near the others: settled by their stars, so no leaves are compared, however many there are."""
+    rng = random.Random(13)
+    base = prose(rng, 200).split()
+    rows = []
+    for k in range(400):
+        w = list(base)
+        w[rng.randrange(200)] = f"new{k}"
+        rows.append((k, " ".join(w)))
+    jaccard.bounded(spark)
+    docs = table(spark, rows)
+    home = jaccard.shared_dir(spark)
+    own = jaccard.classes(docs, 5)
+    slim = jaccard.staged(own.select("r", "c", "v", "n", "bits"), f"{home}/met")
+    star = jaccard.staged(jaccard.with_classes(jaccard.entries(docs, 5, 8, 10), slim), f"{home}/stars")
+    for leaf in (16, 64):
+        groups = jaccard.star_groups(star, slim, 8, 10, leaf)
+        assert groups.count() <= 20 * len(rows)
+    texts = docs.join(slim, jaccard.row_name(F.col("doc_id"), F.col("text")) == F.col("r")).select("c", "text")
+    label = components(jaccard.verified(jaccard.staged(groups, f"{home}/groups"), texts, 5, 8, 10))
+    assert label.select("label").distinct().count() == 1
+    assert jaccard.open_nodes(star, slim, label, 16).count() == 0
 
 
 def test_tree_loses_no_pair():
@@ -358,10 +427,13 @@ def test_tree_loses_no_pair():
     for _ in range(40):
         s = rng.choice(pool, rng.integers(5, 200), replace=False)
         sets += [np.unique(s), np.unique(np.concatenate((s[: int(len(s) * 0.95)], rng.choice(pool, 3))))]
-    x = jaccard.Tree(sets, 256)
-    got = {tuple(sorted(p)) for i, j in jaccard.dual(x, x, 8, 10) for p in zip(i.tolist(), j.tolist(), strict=True)}
-    want = {(i, j) for j in range(len(sets)) for i in range(j) if 10 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 8 * (len(sets[i]) + len(sets[j]) - k)}
-    assert want <= got and len(got) < len(sets) * len(sets) / 4
+    for width in (2, 8):
+        maps = [np.resize(jaccard.folded(m, width), width) if len(m := jaccard.bitmap(s)) >= width else np.tile(m, width)[:width] for s in sets]
+        few = [k for k, s in enumerate(sets) if len(jaccard.bitmap(s)) >= width]
+        x = jaccard.Tree(np.stack([maps[k] for k in few]), np.array([len(sets[k]) for k in few]))
+        got = {tuple(sorted((few[i_], few[j_]))) for i, j in jaccard.dual(x, x, 8, 10) for i_, j_ in zip(i.tolist(), j.tolist(), strict=True)}
+        want = {(i, j) for j in few for i in few if i < j and 10 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 8 * (len(sets[i]) + len(sets[j]) - k)}
+        assert want <= got and (width == 2 or len(got) < len(few) ** 2 / 4)
 
 
 def test_components(spark):

@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from conftest import SMALL
 from llm.conftest import table
-from llm.test_ops import brute_components, brute_hits, brute_lines, check_packing, clashing, key, words
+from llm.test_ops import brute_hits, brute_lines, check_packing, clashing, key, one_each, words
 from pyspark.sql import functions as F
 
 from pitlake.llm import linededup
@@ -55,7 +55,7 @@ def test_lines(stages):
 
 def test_near_duplicates(stages):
     docs, new = stages[2]
-    assert key(r[0] for r in pairs(new)) == key(i for i, _, c in brute_components(pairs(docs), 5, 8, 10) if i == c)
+    assert key(pairs(new)) == key(one_each(pairs(docs)))
 
 
 def test_decontamination(spark, stages):
