@@ -1,23 +1,26 @@
 """Language identification by compression.
 
-Every learned language has a raw-content zstandard dictionary: whole training texts, in the order of a hash of doc_id
-and without repeats, up to `dict_bytes`. A text is compressed whole with each dictionary; the language whose dictionary
+Every learned language has a raw-content zstandard dictionary: training texts in the order of a hash of their rows,
+without repeats, up to `dict_bytes`. A text is compressed whole with each dictionary; the language whose dictionary
 makes it smallest is predicted (both in lower case), and the prediction is rejected when the runner-up comes within `margin` of it.
 
-Only rows chosen for training give texts to dictionaries, about `sample` rows a language at most; the prediction sees
-the text alone. A text that is null or has no letter is `und`. Ties go to the first name. Repeated rows are judged each
-by itself; an empty table gives an empty result, and without training rows every text is `und`.
+Only rows chosen for training give texts to dictionaries: of each of the `langs` most frequent languages, the `sample`
+rows of least hash of (doc_id, text), rows that agree in both once; texts longer than `dict_bytes` come after all others
+and give that much. The prediction sees the text alone. A text that is null or has no letter (Unicode category L) is
+`und`. Ties go to the first name. Long texts are compressed whole; repeated rows are judged each by itself; other
+columns are not read, whatever their names; an empty table gives an empty result, and without training rows every text
+is `und`.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded
@@ -26,7 +29,8 @@ SAMPLE = 300
 DICT_BYTES = 96 << 10
 LEVEL = 9
 MARGIN = 0.004
-LETTER = re.compile(r"[^\W\d_]")
+LANGS = 1000
+LETTER = regex.compile(r"\p{L}")
 
 
 def in_training(doc_id: Column) -> Column:
@@ -34,23 +38,26 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
-def sampled(docs: DataFrame, sample: int = SAMPLE, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def sampled(docs: DataFrame, sample: int = SAMPLE, dict_bytes: int = DICT_BYTES, langs: int = LANGS) -> dict[str, bytes]:
     """Raw dictionary content by language, from the training rows of the smallest hashes.
 
-    The rows of each language are counted over all documents; a bound on the hash then lets about twice `sample` through."""
-    rows = docs.where(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    share = F.lit(None).cast("double")
-    for lang, n in sorted(counts.items()):
-        share = F.when(F.col("lang") == lang, min(1.0, 2 * sample / n)).otherwise(share)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    taken = rows.where(place < share * (1 << 30)).select("lang", place.alias("place"), "text").collect()
+    The rows of each language are counted over all documents; a bound on the hash lets about four times `sample` through,
+    and of these the first `sample` are taken, in each task already. At most langs * sample * dict_bytes reach the driver."""
+    rows = docs.where(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("place"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()}
+    if not counts:
+        return {}
+    bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 4 * sample / n) * (1 << 40)))])
+    long = F.octet_length("text") > dict_bytes
+    few = rows.where(F.col("place") < bound[F.col("lang")]).groupBy("lang", long.alias("long"), "place").agg(F.min(F.left("text", F.lit(dict_bytes))).alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("long", "place"))
+    taken = few.withColumn("rank", first).where(F.col("rank") <= sample).orderBy("lang", "rank").select("lang", "text").collect()
     out = {}
     for lang in sorted(counts):
         texts, size = {}, 0
-        for r in sorted((r for r in taken if r["lang"] == lang), key=lambda r: (r["place"], r["text"]))[:sample]:
-            raw = r["text"].lower().encode()
-            if raw not in texts and (not texts or size + len(raw) < dict_bytes):
+        for r in taken:
+            raw = r["text"].lower().encode()[:dict_bytes] if r["lang"] == lang else b""
+            if raw and raw not in texts and (not texts or size + len(raw) < dict_bytes):
                 texts[raw] = True
                 size += len(raw) + 1
         if texts:
