@@ -1,13 +1,15 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 The models are bigram chains over [A-Za-z0-9+/_=-]. One learns from labelled random strings (what the base patterns
-capture), the other from labelled ordinary identifiers (the other long words), both in a bounded sample of documents:
-about `sample` of the smallest hashes of doc_id. A chain backs off to its single characters (with weight `BACK`), and
-these to uniform ones (with `PRIOR`). A run of at least `min_chars` such characters outside the base spans is a secret
-of kind `random` when it has a digit and a letter or sign, and its log-likelihood ratio exceeds `margin`, both in all and
-per character.
-
-A null text counts as empty. Spans are code points, end exclusive. Repeated rows are judged each by itself. An empty
+capture), the other from labelled ordinary identifiers (the other long words), both in a bounded sample: the `sample`
+documents of least hash of (doc_id, text), half of them such as may hold a base match, of each at most `SAMPLE_CHARS`
+characters. A chain backs off to its single characters (with weight `BACK`), and these to uniform ones (with `PRIOR`). A
+run of at least `min_chars` such characters outside the base spans is a secret of kind `random` when it has a digit and a
+letter or sign, and its log-likelihood ratio exceeds `margin`, both in all and per character; a ratio that only equals it
+does not.
+
+A null text counts as empty. Spans are code points, end exclusive. Time is linear in a text, however long and however
+full of matches. Repeated rows are judged each by itself; other columns are not read, whatever their names. An empty
 table gives an empty result; without samples the models are uniform and find nothing beyond the base.
 """
 
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded
@@ -39,6 +41,8 @@ IS_HEX = bytes(104 if 48 <= b <= 57 or 97 <= b <= 102 else 32 for b in range(256
 IS_RUN = bytes(120 if chr(b) in CHARS else 32 for b in range(256))
 
 SAMPLE = 1000
+SAMPLE_CHARS = 1 << 16
+WIDE = 64  # so many times as many rows are looked through for those that may hold a match
 MIN_CHARS = 20
 PRIOR = 0.5
 BACK = 8.0
@@ -81,6 +85,17 @@ def train(random: list[str], ordinary: list[str]) -> np.ndarray:
     return logs[0] - logs[1]
 
 
+def outside(text: str, spans: list[Span], least: int) -> Iterator[re.Match]:
+    """Runs of `least` characters or more that touch no span; spans are sorted."""
+    k, upto = 0, -1
+    for m in RUN.finditer(text):
+        while k < len(spans) and spans[k][0] < m.end():
+            upto = max(upto, spans[k][2])
+            k += 1
+        if m.end() - m.start() >= least and upto <= m.start():
+            yield m
+
+
 def labelled(rows: list[str]) -> tuple[list[str], list[str]]:
     """(random strings, ordinary identifiers) of sampled texts, labelled by the base patterns."""
     random, ordinary = [], []
@@ -89,21 +104,22 @@ def labelled(rows: list[str]) -> tuple[list[str], list[str]]:
         for start, kind, end in at:
             value = ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
             random += RUN.findall(value)
-        ordinary += [m[0] for m in RUN.finditer(text) if len(m[0]) >= 4 and not any(a < m.end() and m.start() < b for a, _, b in at)]
+        ordinary += [m[0] for m in outside(text, at, 4)]
     return random, ordinary
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Train on about `sample` documents of the smallest hashes: half of them any, half such as may hold a base match.
+    """Train on the `sample` documents of least hashes: half of them such as may hold a base match, half others.
 
-    Both kinds are counted over all documents; a bound on the hash then lets about their shares through."""
-    may = F.coalesce(F.col("text").rlike("(?i)password|passwd|secret|token|api_?key|AKIA"), F.lit(False))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    n = docs.select(F.count("*").alias("all"), F.count_if(may).alias("may")).first()
-    bound = lambda k: int(min(1.0, sample / 2 / max(1, k)) * (1 << 30))
-    rows = docs.where(F.col("text").isNotNull()).select(place.alias("place"), "text", may.alias("may")).where((F.col("place") < bound(n["all"])) | F.col("may") & (F.col("place") < bound(n["may"])))
-    texts = sorted((r["place"], r["text"]) for r in rows.collect())
-    return train(*labelled([text for _, text in texts]))
+    A bound on the hash, from the number of rows, lets some WIDE * sample rows through; only these are searched, and each
+    task keeps the first of its own. At most sample * SAMPLE_CHARS characters reach the driver."""
+    may = F.col("text").rlike("(?i)password|passwd|secret|token|api_?key|AKIA").alias("may")
+    bound = int(min(1.0, WIDE * sample / max(1, docs.count())) * (1 << 40))
+    rows = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("place")).where(F.col("text").isNotNull() & (F.col("place") < bound))
+    few = rows.select("place", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).groupBy("place").agg(F.min("text").alias("text")).select("place", "text", may)
+    first = F.row_number().over(Window.partitionBy("may").orderBy("place"))
+    taken = few.withColumn("rank", first).where(F.col("rank") <= sample // 2).orderBy("place").select("text").collect()
+    return train(*labelled([r[0] for r in taken]))
 
 
 def all_spans(text: str | None, ratio: np.ndarray, min_chars: int = MIN_CHARS, margin: tuple[float, float] = MARGIN) -> list[Span]:
@@ -114,14 +130,14 @@ def all_spans(text: str | None, ratio: np.ndarray, min_chars: int = MIN_CHARS, m
     out = base_spans(text, raw)
     if b"x" * min_chars not in raw.translate(IS_RUN):
         return out
-    base, more = out, []
-    for m in RUN.finditer(text):
-        if len(m[0]) >= min_chars and not m[0].isalpha() and any(c.isdigit() for c in m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base):
+    more = []
+    for m in outside(text, out, min_chars):
+        if any(map(str.isdigit, m[0])) and not m[0].isdigit():
             codes = np.concatenate(([len(CHARS)], CODE[np.frombuffer(m[0].encode("ascii"), np.uint8)]))
             score = float(ratio[codes[:-1], codes[1:]].sum())
             if score > margin[0] and score > margin[1] * len(m[0]):
                 more.append((m.start(), 3, m.end()))
-    return sorted(base + more)
+    return sorted(out + more)
 
 
 def scan_secrets(docs: DataFrame, sample: int = SAMPLE, min_chars: int = MIN_CHARS, margin: tuple[float, float] = MARGIN) -> DataFrame:
