@@ -8,7 +8,9 @@ A line is dropped in every document but its owner; all copies inside the owner s
 
 A line's key is the line without blanks at its ends and with A-Z in lower case; keys under `min_chars` code points are
 never dropped. Keys are held as 128-bit hashes. Null text counts as one empty line. Rows that share a doc_id count as
-one document; a row without doc_id neither owns nor loses lines. An empty table gives an empty result.
+one document; a row without doc_id neither owns nor loses lines. Work is linear in a text's lines, however many of them
+go. Other columns pass through; their names may be any but `into` and those that begin with it. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .common import BLANK, LOWER, UPPER, drop_dir, shared_dir, staged
 MIN_CHARS = 10
 FANOUT = 3
 BATCHES = 4
-ROWS_A_FILE = 1_000_000
+SAMPLE = 1000
 
 
 def line_key(line: Column) -> Column:
@@ -41,16 +43,17 @@ def lines_of(text: Column) -> Column:
 
 
 def keys_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, h): the distinct line hashes of each document that has an id."""
-    hashes = F.array_distinct(F.filter(F.transform(lines_of(F.col("text")), lambda x: key_hash(x, min_chars)), lambda h: h.isNotNull()))
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc"), F.explode(hashes).alias("x")).select("doc", F.unhex("x").alias("h"))
+    """(doc, t, place, h): the lines that count, of every document that has an id: hash of its text, number and hash of the line."""
+    hashes = F.transform(lines_of(F.col("text")), lambda x: key_hash(x, min_chars))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("t"), F.posexplode(hashes).alias("place", "x"))
+    return rows.where("x is not null").select("doc", "t", "place", F.unhex("x").alias("h"))
 
 
 class LineRuns:
     """The store of line hashes; `path` lies in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
-        self.spark, self.path, self.fanout, self.levels, self.made, self.rows = spark, path, fanout, [], 0, 0
+        self.spark, self.path, self.fanout, self.levels, self.made = spark, path, fanout, [], 0
 
     def runs(self) -> list[str]:
         return [run for level in self.levels for run in level]
@@ -61,15 +64,14 @@ class LineRuns:
     def _write(self, run: DataFrame, level: int) -> None:
         path = f"{self.path}/run-{self.made}-level-{level}"
         self.made += 1
-        # A file holds up to ROWS_A_FILE hashes, whatever the number of shuffle partitions; hashes don't compress.
-        run.coalesce(max(1, -(-self.rows // ROWS_A_FILE))).sortWithinPartitions("h").write.option("compression", "uncompressed").parquet(path)
+        # The shuffle before has put small partitions together; hashes don't compress.
+        run.sortWithinPartitions("h").write.option("compression", "uncompressed").parquet(path)
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(path)
 
     def absorb(self, keys: DataFrame) -> None:
         """Take in a batch: (doc, h). Hashes that no run holds become a new run, owned by their smallest doc."""
-        self.rows += keys.count()
         fresh = keys.groupBy("h").agg(F.min("doc").alias("owner"))
         for run in self.runs():
             fresh = fresh.join(self.read(run).select("h").hint("merge"), "h", "left_anti")
@@ -83,9 +85,19 @@ class LineRuns:
             level += 1
 
     def lost(self, keys: DataFrame) -> DataFrame:
-        """(doc, h) of the lines that documents already absorbed lose to another document."""
+        """The rows of keys (doc, h, ...) whose line belongs to another document; all documents have been absorbed."""
         owners = reduce(DataFrame.union, map(self.read, self.runs()))
-        return keys.join(owners.hint("merge"), "h").where(F.col("doc") != F.col("owner")).select("doc", "h")
+        return keys.join(owners.hint("merge"), "h").where(F.col("doc") != F.col("owner"))
+
+
+def batch_cuts(docs: DataFrame, batches: int) -> list:
+    """Values of doc_id that part the documents into about equal batches."""
+    if batches < 2:
+        return []
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp"):
+        return sorted(set(docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []))
+    some = sorted({r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE).collect()})
+    return sorted({some[k * len(some) // batches] for k in range(1, batches)}) if some else []
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, into: str = "line_dedup") -> DataFrame:
@@ -93,19 +105,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATC
 
     The table is taken as `batches` batches in the order of doc_id, so a line's owner is its smallest doc_id."""
     spark, home = docs.sparkSession, shared_dir(docs.sparkSession)
-    cuts = [] if batches < 2 else docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0] or []
-    number = reduce(lambda c, x: c + F.when(F.col("doc") > x, 1).otherwise(0), sorted(set(cuts)), F.lit(0))
-    keys = staged(keys_of(docs.select("doc_id", "text"), min_chars).withColumn("batch", number), f"{home}/keys", "uncompressed")
+    cuts = batch_cuts(docs, batches)
+    number = reduce(lambda c, x: c + F.when(F.col("doc") > F.lit(x), 1).otherwise(0), cuts, F.lit(0))
+    keys = staged(keys_of(docs.select("doc_id", "text"), min_chars).withColumn("batch", number), f"{home}/keys")
     store = LineRuns(spark, f"{home}/runs", fanout)
-    for k in range(len(set(cuts)) + 1):
+    for k in range(len(cuts) + 1):
         store.absorb(keys.where(F.col("batch") == k).select("doc", "h"))
-    lost = store.lost(keys.select("doc", "h")).groupBy("doc").agg(F.collect_set("h").alias(f"{into}_lost")).withColumnRenamed("doc", f"{into}_doc")
+    lost = store.lost(keys).groupBy("doc", "t").agg(F.collect_set("place").alias(f"{into}_lost")).withColumnsRenamed({"doc": f"{into}_doc", "t": f"{into}_t"})
     lines, gone = lines_of(F.col("text")), F.col(f"{into}_lost")
-    stays = lambda x: ~F.coalesce(F.array_contains(gone, F.unhex(key_hash(x, min_chars))), F.lit(False))
-    kept = F.when(gone.isNull(), lines).otherwise(F.filter(lines, stays))
-    out = docs.join(lost, docs["doc_id"] == F.col(f"{into}_doc"), "left").withColumn(into, F.struct(kept.alias("kept"), F.size(lines).cast("long").alias("n_lines")))
-    s = F.col(into)
-    return out.withColumn(into, F.struct(F.array_join(s["kept"], "\n").alias("text"), s["n_lines"].alias("n_lines"), (s["n_lines"] - F.size(s["kept"])).alias("n_dropped"))).drop(f"{into}_doc", f"{into}_lost")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    # A transform over a one-element array binds the lines once.
+    kept = F.array_join(F.transform(F.array(lines), lambda x: F.transform(left, lambda k: F.get(x, k)))[0], "\n")
+    out = docs.join(lost, (docs["doc_id"] == F.col(f"{into}_doc")) & (F.xxhash64(docs["text"]) == F.col(f"{into}_t")), "left")
+    count = lambda x: x.cast("long")
+    struct = F.struct(F.when(gone.isNull(), F.coalesce("text", F.lit(""))).otherwise(kept).alias("text"), count(F.size(lines)).alias("n_lines"), count(F.when(gone.isNull(), 0).otherwise(F.size(gone))).alias("n_dropped"))
+    return out.withColumn(into, struct).drop(f"{into}_doc", f"{into}_t", f"{into}_lost")
 
 
 def line_dedup_table(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
