@@ -3,13 +3,16 @@
 Each document gets integer metrics. A mergeable quantile sketch of every metric is kept per (lang, source): a histogram
 whose buckets grow geometrically (exact below 64, then 32 buckets for each doubling, so a quantile is off by 1/32 at
 most). Sketches are plain counts: partial aggregation builds them, addition merges them, and the order of rows cannot
-change them. The sketch of a language is the sum of its sources', the corpus sketch the sum of all. Each group's fences
-lie `spread` interquartile ranges outside its quartiles; a group of fewer than `min_group` documents uses its
-language's fences, and a small language the corpus's. The fences join back to the documents, which stay when every
-metric lies within.
-
-Null text counts as empty (no words: fails the base rules). Null lang or source form groups of their own. Repeated rows
-count each. An empty table gives an empty result.
+change them. The sketch of a language is the sum of its sources', the corpus sketch the sum of all. Of each metric an
+upper quantile is trusted (and of some a lower one); a group's fence lies `spread` times as far beyond that quantile as
+the quantile lies from the median. No threshold is fixed: where quantile and median agree, the step of the measure takes
+the distance's place, which is what one more occurrence makes in that very document. A group of fewer than `min_group`
+documents uses its language's quantiles, and a small language the corpus's. The fences join back to the documents, which
+stay when every metric lies within or on them.
+
+Null text counts as empty (no words: fails the base rules). Null lang or source form groups of their own. Long texts are
+measured whole. Repeated rows count each. Columns other than text, lang and source are not read; those of docs may have
+any name that does not begin with __quality. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,15 +28,15 @@ MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT = 30
 
-#: Metric -> (the least interquartile range assumed, whether low values are judged too). In thousandths.
+#: Metric -> the lower and upper quantile that are trusted, in hundredths, and the count that it is a share of. In thousandths.
 METRICS = {
-    "word_length": (1000, True),
-    "symbols": (100, False),
-    "dup_lines": (250, False),
-    "repeats": (100, False),
-    "exclaims": (100, False),
+    "word_length": (10, 90, "n_words"),
+    "symbols": (None, 90, "n_words"),
+    "dup_lines": (None, 99, "n_lines"),
+    "repeats": (None, 99, "n_words"),
+    "exclaims": (None, 90, "n_words"),
 }
-SPREAD = 3
+SPREAD = 2.5
 MIN_GROUP = 200
 BITS = 6  # values under 2**BITS have a bucket each
 
@@ -101,7 +104,7 @@ def with_metrics(docs: DataFrame, into: str) -> DataFrame:
     return a.withColumn(
         into,
         held(F.struct(
-            m["n_words"].alias("n_words"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"),
+            m["n_words"].alias("n_words"), m["n_lines"].alias("n_lines"), m["word_chars"].alias("word_chars"), m["n_symbols"].alias("n_symbols"), m["n_dup_lines"].alias("n_dup_lines"), m["n_repeat_words"].alias("n_repeat_words"),
             ((m["n_words"] < MIN_WORDS) | (m["n_repeat_words"] * 100 > m["n_words"] * MAX_REPEAT)).alias("base_failed"),
             share(m["word_chars"], m["n_words"]).alias("word_length"), share(m["n_symbols"], m["n_words"]).alias("symbols"), share(m["n_dup_lines"], m["n_lines"]).alias("dup_lines"),
             share(m["n_repeat_words"], m["n_words"]).alias("repeats"), share(m["n_exclaims"], m["n_words"]).alias("exclaims"),
@@ -132,51 +135,53 @@ def sketches(metrics: DataFrame, m: str = "m") -> DataFrame:
     return long.groupBy("lang", "source", "x.metric", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row per (lang, source) that the sketch holds: `lo` and `hi`, maps from metric to fence."""
+def fences(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
+    """One row per (lang, source) that the sketch holds: `q`, a map from metric to its trusted quantiles and the median (low, middle, high)."""
 
-    def quartiles(of: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    def quantiles(of: DataFrame, keys: list[str], tag: str) -> DataFrame:
         by = Window.partitionBy(*keys, "metric")
         run = of.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("all", F.sum("n").over(by))
-        q = lambda k: bucket_top(F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("bucket"))))
-        return run.groupBy(*keys, "metric").agg(F.max("all").alias(f"n{tag}"), q(1).alias(f"a{tag}"), q(3).alias(f"b{tag}"))
+        share = lambda end: F.create_map(*[F.lit(x) for k, v in METRICS.items() for x in (k, v[end] or 0)])[F.col("metric")]
+        at = lambda k: bucket_top(F.min(F.when(F.col("upto") * 100 >= F.col("all") * k, F.col("bucket"))))
+        return run.groupBy(*keys, "metric").agg(F.max("all").alias(f"n{tag}"), F.struct(at(share(0)).alias("low"), at(F.lit(50)).alias("middle"), at(share(1)).alias("high")).alias(f"q{tag}"))
 
     total = lambda *keys: sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
-    own, lang, corpus = quartiles(sketch, ["lang", "source"], "0"), quartiles(total("lang"), ["lang"], "1"), quartiles(total(), [], "2")
-    lang = lang.select(F.col("lang").alias("lang_"), F.col("metric").alias("metric_"), "n1", "a1", "b1")
+    own, lang, corpus = quantiles(sketch, ["lang", "source"], "0"), quantiles(total("lang"), ["lang"], "1"), quantiles(total(), [], "2")
+    lang = lang.select(F.col("lang").alias("lang_"), F.col("metric").alias("metric_"), "n1", "q1")
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("metric") == F.col("metric_")), "left").join(corpus, "metric", "left")
-    pick = lambda x: F.when(F.col("n0") >= min_group, F.col(f"{x}0")).when(F.col("n1") >= min_group, F.col(f"{x}1")).otherwise(F.col(f"{x}2"))
-    least = F.create_map(*[y for k, (w, _) in METRICS.items() for y in (F.lit(k), F.lit(w).cast("long"))])
-    low = [k for k, (_, both_ends) in METRICS.items() if both_ends]
-    at = both.withColumns({"a": pick("a"), "b": pick("b")}).withColumn("w", spread * F.greatest(F.col("b") - F.col("a"), least[F.col("metric")]))
-    as_map = lambda c: F.map_from_entries(F.collect_list(F.struct("metric", c)))
-    return at.groupBy("lang", "source").agg(as_map((F.when(F.col("metric").isin(low), F.col("a") - F.col("w")).otherwise(F.lit(-1))).alias("lo")).alias("lo"), as_map((F.col("b") + F.col("w")).alias("hi")).alias("hi"))
+    pick = F.when(F.col("n0") >= min_group, F.col("q0")).when(F.col("n1") >= min_group, F.col("q1")).otherwise(F.col("q2"))
+    return both.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("metric", pick.alias("q")))).alias("q"))
 
 
-def judged(metrics: DataFrame, fence: DataFrame, m: str = "m", into: str = "kept") -> DataFrame:
+def judged(metrics: DataFrame, fence: DataFrame, m: str = "m", into: str = "kept", spread: float = SPREAD) -> DataFrame:
     """metrics and a boolean column `into`."""
-    f = fence.select(F.col("lang").alias(f"{into}_lang"), F.col("source").alias(f"{into}_source"), F.col("lo").alias(f"{into}_lo"), F.col("hi").alias(f"{into}_hi"))
+    f = fence.select(F.col("lang").alias(f"{into}_lang"), F.col("source").alias(f"{into}_source"), F.col("q").alias(f"{into}_q"))
     joined = metrics.join(f, F.col("lang").eqNullSafe(F.col(f"{into}_lang")) & F.col("source").eqNullSafe(F.col(f"{into}_source")), "left")
     inside = F.lit(True)
-    for k in METRICS:
-        v = F.col(m)[k]
-        inside = inside & (v >= F.coalesce(F.col(f"{into}_lo")[k], v)) & (v <= F.coalesce(F.col(f"{into}_hi")[k], v))
-    return joined.withColumn(into, ~F.col(m)["base_failed"] & inside).drop(f"{into}_lang", f"{into}_source", f"{into}_lo", f"{into}_hi")
+    for k, (low, _, of) in METRICS.items():
+        v, q, step = F.col(m)[k], F.col(f"{into}_q")[k], 1000 / F.greatest(F.col(m)[of], F.lit(1))
+        inside = inside & F.coalesce(v <= q["high"] + spread * F.greatest(q["high"] - q["middle"], step), F.lit(True))
+        if low is not None:
+            inside = inside & F.coalesce(v >= q["low"] - spread * F.greatest(q["middle"] - q["low"], step), F.lit(True))
+    return joined.withColumn(into, ~F.col(m)["base_failed"] & inside).drop(f"{into}_lang", f"{into}_source", f"{into}_q")
 
 
-def quality_table(docs: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
+def quality_table(docs: DataFrame, spread: float = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
     """Per document: doc_id, the counts, base_failed, the judged metrics and kept.
 
     The counts are written once, without texts, to the shared folder; sketches and verdicts both read them there."""
     spark = docs.sparkSession
     slim = staged(with_metrics(docs.select("doc_id", "text", "lang", "source"), "m").drop("text"), f"{shared_dir(spark)}/metrics")
-    out = judged(slim, fences(sketches(slim), spread, min_group))
+    out = judged(slim, fences(sketches(slim), min_group), spread=spread)
     return out.select("doc_id", *[F.col("m")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *METRICS)], "kept")
 
 
-def quality_filter(docs: DataFrame, spread: int = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that pass, with their columns as they were."""
+def quality_filter(docs: DataFrame, spread: float = SPREAD, min_group: int = MIN_GROUP) -> DataFrame:
+    """The documents that pass, with their columns as they were.
+
+    Those that pass the base rules are written once with their metrics; the sketches read the metrics alone."""
     m, keep = "__quality_metrics", "__quality_kept"
     spark = docs.sparkSession
-    fence = staged(fences(sketches(with_metrics(docs.select("text", "lang", "source"), "m").drop("text")), spread, min_group), f"{shared_dir(spark)}/fences")
-    return judged(with_metrics(docs, m), fence, m, keep).where(F.col(keep)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    passed = staged(with_metrics(docs, m).where(~F.col(m)["base_failed"]), f"{shared_dir(spark)}/measured")
+    fence = fences(sketches(passed.select("lang", "source", m), m), min_group)
+    return judged(passed, fence, m, keep, spread).where(F.col(keep)).select(*[F.col(f"`{c}`") for c in docs.columns])
