@@ -6,11 +6,15 @@ the number of documents of the whole corpus that hold it. Documents meet windows
 position of the shingle in the window bounds where the window can start, its length where it can end, and the words
 are then compared one by one. Shingles have `shingle` words, or all words of a shorter window.
 
-The benchmark is the stated query set, taken in blocks of at most about `block` (window, item) pairs; each block is
-broadcast, every document is held against every block, and documents are never shuffled.
-
-A null text has no words. Items without words have no windows; a null item_id counts as an empty one. Repeated rows are
-judged each by itself; an empty table on either side gives no hits.
+The benchmark is the stated query set, taken in blocks of at most about `block` (window, item) pairs. Blocks follow one
+another: one is collected, broadcast and held against every document, its hits are written, and it is given up before the
+next, so that driver and workers never hold more than one. A single block needs no such table, and documents are not
+shuffled then.
+
+A null text has no words. Items without words have no windows; a null item_id counts as an empty one. Long texts are
+searched whole. A tie between equally rare shingles goes to the smaller hash and changes no result. Repeated rows are
+judged each by itself; columns other than doc_id and text (item_id and text) are not read, whatever their names; an empty
+table on either side gives no hits.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, UPPER, as_bytes, bounded
+from .common import ALNUM, LOWER, UPPER, as_bytes, bounded, row_name, shared_dir, staged
 
 WINDOW = 10
 SHINGLE = 5
@@ -132,14 +137,14 @@ def count_shingles(texts: list[bytes | None], block: Block) -> np.ndarray:
     return out
 
 
-def find(texts: list[bytes | None], blocks: list[Block]) -> list[tuple[int, int, list[tuple[int, int]], list[str]]]:
+def find(texts: list[bytes | None], block: Block | None) -> list[tuple[int, int, list[tuple[int, int]], list[str]]]:
     """Per text: words, words hit, hit runs (start and end in words), the items whose windows occur."""
     words, n = split_words(texts)
     ends = np.cumsum(n + 1)
     begins = ends - n - 1
     edge = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int64)
     items: list[set[str]] = [set() for _ in texts]
-    for block in blocks:
+    if block is not None:
         ids = numbered(words, n, block)
         for t in block.lengths:
             keys, start, win, place = block.prefix[t]
@@ -166,56 +171,106 @@ def find(texts: list[bytes | None], blocks: list[Block]) -> list[tuple[int, int,
     return [(int(k), sum(b - a for a, b in r), r, sorted(i)) for k, r, i in zip(n, runs, items, strict=True)]
 
 
-def blocks_of(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> list:
-    """The benchmark's blocks, broadcast; their windows know their rarest shingles over all documents."""
-    bounded(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    pairs = windows(benchmark, window)
-    n = -(-pairs.count() // block)
-    parts = pairs.select("window", "item", F.pmod(F.xxhash64("window", "item"), F.lit(max(1, n))).alias("k"))
-    built = [Block([(r[0], r[1]) for r in parts.where(F.col("k") == k).select("window", "item").collect()], shingle) for k in range(n)]
-    sent = [sc.broadcast(b) for b in built]
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal runs."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(sum(map(len, b.value.known.values())), np.int64) for b in sent]
-        for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for s, b in zip(sums, sent, strict=True):
-                s += count_shingles(texts, b.value)
-        for k, s in enumerate(sums):
-            at = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array(at), pa.array(s[at])], ["block", "shingle", "n"])
-
-    if not built:
-        return []
-    counts: list[dict[int, int]] = [{} for _ in built]
-    for r in docs.select("text").mapInArrow(count, "block long, shingle long, n long").groupBy("block", "shingle").agg(F.sum("n")).toLocalIterator():
-        counts[r[0]][r[1]] = r[2]
-    for b in sent:
-        b.unpersist()
-    return [sc.broadcast(b.order(c)) for b, c in zip(built, counts, strict=True)]
 
+RUN = pa.struct({"start": pa.int64(), "end": pa.int64()})
+RUN_SQL = "array<struct<start:long,end:long>>"
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, spans (runs of hit words) and items."""
-    sent = blocks_of(docs, benchmark, window, shingle, block)
+
+class Blocks:
+    """The benchmark's windows in the shared folder, dealt into blocks."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block: int):
+        spark = docs.sparkSession
+        bounded(spark)
+        self.docs, self.shingle, self.home = docs.select("doc_id", "text"), shingle, shared_dir(spark)
+        self.pairs = staged(windows(benchmark, window), f"{self.home}/windows")
+        self.n = -(-self.pairs.count() // block)
+
+    def sent(self, k: int) -> Broadcast:
+        """Block k, which knows its windows' rarest shingles over all documents."""
+        sc = self.docs.sparkSession.sparkContext
+        mine = self.pairs.where(F.pmod(F.xxhash64("window", "item"), F.lit(self.n)) == k)
+        built = Block([(r[0], r[1]) for r in mine.select("window", "item").collect()], self.shingle)
+        first = sc.broadcast(built)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(sum(map(len, first.value.known.values())), np.int64)
+            for batch in batches:
+                sums += count_shingles(as_bytes(batch.column(0)), first.value)
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["shingle", "n"])
+
+        rows = self.docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n"))
+        counts = {r[0]: r[1] for r in rows.toLocalIterator()}  # at most the block's shingles
+        first.destroy()
+        return sc.broadcast(built.order(counts))
+
+    def hits(self) -> DataFrame:
+        """(r, spans, items) of the documents hit, by name; each block's are written before the next block comes."""
+        named = self.docs.select("doc_id", "text", row_name(F.col("doc_id"), F.col("text")).alias("r"))
+        for k in range(self.n):
+            sent = self.sent(k)
+            staged(scan(named, "r binary", sent).where("n_hit > 0").select("r", "spans", "items"), f"{self.home}/hits-{k}")
+            sent.destroy()
+        rows = self.docs.sparkSession.read.parquet(*[f"{self.home}/hits-{k}" for k in range(self.n)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans, items = [], []
+                for all_runs, all_items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    spans.append([{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for some in all_runs for x in some])])
+                    items.append(sorted({x for some in all_items for x in some}))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(RUN)), pa.array(items, pa.list_(pa.string()))], ["r", "spans", "items"])
+
+        return staged(rows.groupBy("r").agg(F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items")).mapInArrow(run, f"r binary, spans {RUN_SQL}, items array<string>"), f"{self.home}/hits")
+
+
+def scan(rows: DataFrame, name: str, sent: Broadcast | None) -> DataFrame:
+    """rows is (doc_id, text, name) or, without a name, (doc_id, text). Per row: its first and last column, n_words, n_hit, spans, items."""
+    one = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, hit, spans, items = zip(*found, strict=True) if (found := find(as_bytes(batch.column(1)), [b.value for b in sent])) else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()}))), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "spans", "items"])
+            n, hit, spans, items = zip(*found, strict=True) if (found := find(as_bytes(batch.column(1)), sent.value if sent else None)) else ((), (), (), ())
+            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], pa.list_(RUN)), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*cols, *batch.columns[2:]], ["doc_id", "n_words", "n_hit", "spans", "items", *batch.schema.names[2:]])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>")
+    return rows.mapInArrow(run, f"doc_id {one}, n_words long, n_hit long, spans {RUN_SQL}, items array<string>" + (f", {name}" if name else ""))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, spans (runs of hit words) and items."""
+    blocks = Blocks(docs, benchmark, window, shingle, block)
+    if blocks.n < 2:
+        return scan(blocks.docs, "", blocks.sent(0) if blocks.n else None)
+    hits = blocks.hits().select(F.col("r").alias("q"), F.col("spans").alias("s"), F.col("items").alias("i"))
+    words = scan(blocks.docs.select("doc_id", "text", row_name(F.col("doc_id"), F.col("text")).alias("r")), "r binary", None)
+    n_hit = F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return words.join(hits, F.col("r") == F.col("q"), "left").select("doc_id", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("s", "spans").alias("spans"), F.coalesce("i", "items").alias("items"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """The documents that hold no window of the benchmark, with their columns as they were."""
-    sent = blocks_of(docs, benchmark, window, shingle, block)
-    at = docs.columns.index("text")
+    blocks = Blocks(docs, benchmark, window, shingle, block)
+    if blocks.n == 0:
+        return docs
+    if blocks.n > 1:
+        hits = blocks.hits().select(F.col("r").alias("__decontam_r"))
+        return docs.join(hits, row_name(F.col("doc_id"), F.col("text")) == F.col("__decontam_r"), "left_anti")
+    at, sent = docs.columns.index("text"), blocks.sent(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([x[1] == 0 for x in find(as_bytes(batch.column(at)), [b.value for b in sent])], pa.bool_()))
+            yield batch.filter(pa.array([x[1] == 0 for x in find(as_bytes(batch.column(at)), sent.value)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded, drop_dir, flat, shared_dir, staged
+from .common import as_bytes, bounded, drop_dir, flat, row_name, shared_dir, staged
 from .components import components
 
 LEAF = 256
@@ -293,13 +293,6 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
         yield held
 
 
-def row_name(doc_id: Column, text: Column) -> Column:
-    """128 bits of doc_id and text: rows that agree in both have one name."""
-    mark = lambda x: F.when(x.isNull(), "-").otherwise("+")
-    as_text = F.coalesce(doc_id.cast("string"), F.lit(""))
-    return F.unhex(F.md5(F.concat(mark(doc_id), F.length(as_text).cast("string"), mark(text), as_text, F.coalesce(text, F.lit(""))).cast("binary")))
-
-
 def classes(docs: DataFrame, words: int) -> DataFrame:
     """Per row: doc_id, r (its name), n (set size), c (class), v (half of the class's name) and bits (its bitmap); null without a set."""
 
