@@ -2,22 +2,26 @@
 
 A byte goes when it lies in a string of `length` bytes that starts at another place too, in any document.
 
-1. Sampling. The anchor of a window of `length` bytes is the place in it whose `GRAM`-byte string has the least hash.
-   Equal windows have their anchors at the same offset, and the windows with one anchor start in a row, so their bytes
-   are one suffix, cut behind the last window. Only about 1 place in 70 is an anchor.
+1. Texts are taken in pieces of CHUNK bytes, which overlap by a window less a byte. The anchor of a window of `length`
+   bytes is the place in it whose `GRAM`-byte string has the least hash. Equal windows have their anchors at the same
+   offset, and the windows with one anchor start in a row, so their bytes are one suffix, cut behind the last window. Only
+   about 1 place in 70 is an anchor. Suffixes that a task meets again (a text of one character is nothing else) are
+   repeated, bytes compared, and one goes on.
 2. Only anchors whose gram occurs at two anchors or more go on; counts are aggregated before they are shuffled.
 3. Every task sorts its suffixes (each headed by its gram's hash, so that suffixes which may share windows come
    together), keeps one of equal ones, and sends front-coded runs: for each suffix the length of the prefix it shares
-   with the one before, and the rest. A bucket's runs meet in a loser tree that holds, for every run, how much its head
-   shares with the last output: the larger share wins without looking at a byte, and equal shares are compared only
-   beyond the share.
+   with the one before, and the rest. Their number of buckets follows the bytes to sort, so a bucket's runs fit a task. They
+   meet in a loser tree that holds, for every run, how much its head shares with the last output: the larger share wins
+   without looking at a byte, and equal shares are compared only beyond the share.
 4. Equal suffixes are repeated with all their windows. Different suffixes of one gram can share some: their windows are
    compared by (gram, window) hashes, 128 bits. Suffixes of a gram with more than `hot` anchors are dealt by their own
    hash instead of the gram's, and their windows are compared in a shuffle by window hash, so no group has to fit a task.
 5. Repeated windows join back to the texts as byte ranges. A text that occurs twice is repeated as a whole.
 
 Null text counts as empty, and texts under `length` bytes have no window. Repeated rows are occurrences of their own,
-whether or not they share a doc_id. Texts are told apart by a 64-bit hash. An empty table gives an empty result.
+whether or not they share a doc_id. Texts are known by 64 bits; where 128 bits show that two share them, they get others.
+Ties (equal hashes in a window) go to the first place, in every window alike. Columns other than doc_id and text are not
+read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +42,7 @@ GRAM = 64
 HOT = 2000
 CHUNK = 1 << 20
 RUN = 12 << 20
+BUCKET = 16 << 20
 BASE = 0x9E3779B97F4A7C15
 SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -61,25 +66,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
+def sums_of(data: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any stretch of the data follows."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0][: len(data)])))
+
+
+def gram_hashes(data: np.ndarray, n: int, sums: np.ndarray | None = None) -> np.ndarray:
     """Hash of the n bytes from each place on."""
     if len(data) < n:
         return np.zeros(0, np.uint64)
-    up, down = powers(len(data))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])))
-    return mixed((sums[n:] - sums[:-n]) * down[: len(data) - n + 1])
+    sums = sums_of(data) if sums is None else sums
+    return mixed((sums[n:] - sums[:-n]) * powers(len(data))[1][: len(data) - n + 1])
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(gram hash, text number, first and last start of the windows) of every anchor. Together under 16 MB, or one text."""
+    """(gram hash, text number, start and end of the suffix in the text, hash of the suffix) of every anchor. Together under 16 MB."""
     size = np.array([len(t) for t in texts], np.int64)
     data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size)
     starts, none = len(data) - length + 1, np.zeros(0, np.int64)
     if starts < 1:
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
     gram = min(GRAM, length)
     span = length - gram + 1
-    h = gram_hashes(data, gram)
+    sums = sums_of(data)
+    h = gram_hashes(data, gram, sums)
     bits = max(24, int(len(h)).bit_length())
     mask = np.uint64((1 << bits) - 1)
     key = np.full(-(-len(h) // span) * span, np.uint64(2**64 - 1))
@@ -95,9 +105,36 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     d = doc[first]
     whole = first + length <= ends[d]
     first, last, d = first[whole], last[whole], d[whole]
+    end = np.minimum(last, ends[d] - length) + length
     begin = ends[d] - size[d]
+    content = mixed((sums[end] - sums[first]) * powers(len(data))[1][first]) + (end - first).astype(np.uint64)
     # Anchors have small hashes; mixed again they are spread evenly.
-    return mixed(h[anchor[first]]), d, first - begin, np.minimum(last, ends[d] - length) - begin
+    return mixed(h[anchor[first]]), d, first - begin, end - begin, content
+
+
+def repeats(texts: list[bytes], gram: np.ndarray, d: np.ndarray, start: np.ndarray, end: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of suffixes: (which stand for others that are equal, which have another standing for them)."""
+    o = np.lexsort((content, gram))
+    new = np.ones(len(o), bool)
+    new[1:] = (gram[o][1:] != gram[o][:-1]) | (content[o][1:] != content[o][:-1])
+    lead = o[new][np.cumsum(new) - 1] if len(o) else o
+    stands, again = np.zeros(len(o), bool), np.zeros(len(o), bool)
+    for k, j in zip(o[~new].tolist(), lead[~new].tolist(), strict=True):
+        if texts[d[k]][start[k] : end[k]] == texts[d[j]][start[j] : end[j]]:
+            stands[j] = again[k] = True
+    return stands, again
+
+
+def joined_ranges(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal ranges by text; starts ascend within a text, texts ascend."""
+    if not len(d):
+        return d, start, end
+    far = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + d * far)
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (start[1:] + d[1:] * far > reach[:-1])
+    at = np.flatnonzero(new)
+    return d[at], start[at], reach[np.append(at[1:], len(d)) - 1] - d[at] * far
 
 
 def shared(a: bytes, b: bytes, known: int = 0) -> int:
@@ -238,7 +275,7 @@ def found_rows(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(t, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.int32())], schema=OUT)
 
 
-def sent_runs(entries: dict[bytes, list[tuple[int, int]]], hot: set[bytes], buckets: int, length: int) -> Iterator[pa.RecordBatch]:
+def sent_runs(entries: dict[bytes, list[tuple[int, int]]], known: set[bytes], hot: set[bytes], buckets: int) -> Iterator[pa.RecordBatch]:
     """A task's repeated suffixes as found ranges, and its distinct ones as one run a bucket (hot ones in buckets of their own)."""
     found, by = [], {}
     for s in sorted(entries):
@@ -246,79 +283,94 @@ def sent_runs(entries: dict[bytes, list[tuple[int, int]]], hot: set[bytes], buck
         if len(places) > 1:
             found += [(t, a, a + len(s) - 8) for t, a in places]
         h = xxhash.xxh3_64_intdigest(s) if s[:8] in hot else int.from_bytes(s[:8], "big")
-        by.setdefault((h * buckets >> 64) + buckets * (s[:8] in hot), []).append((s, *places[0], int(len(places) > 1)))
+        by.setdefault((h * buckets >> 64) + buckets * (s[:8] in hot), []).append((s, *places[0], int(len(places) > 1 or s in known)))
     yield found_rows(found)
     keys = list(by)
     n = len(keys)
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([front_coded(by[k]) for k in keys], pa.binary()), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.int32())], schema=OUT)
 
 
+def pieces(docs: DataFrame, length: int) -> DataFrame:
+    """(t, base, piece): the texts (text, t) of `length` bytes or more in pieces; every window lies in one of them."""
+    n, raw = F.octet_length("text"), F.col("text").cast("binary")
+    cut = F.transform(F.sequence(F.lit(0), n - length, F.lit(CHUNK)), lambda b: F.struct(b.alias("base"), F.substring(raw, b + 1, F.lit(CHUNK + length - 1)).alias("piece")))
+    return docs.where(n >= length).select("t", F.explode(cut).alias("x")).select("t", "x.base", "x.piece")
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(t, start, end): byte ranges of the texts of hash t that consist of repeated windows; docs has (text, t)."""
     spark = docs.sparkSession
     home = shared_dir(spark)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
+    parts = pieces(docs, length)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
+        names = ["gram", "t", "base", "first", "end", "known"]
+        seen: set[tuple[int, int]] = set()
+        for batch in in_slices(batches):
             texts, ids, bases, size = [], [], [], 0
-            for text, t in zip([*as_bytes(batch.column(0)), None], [*batch.column(1).to_pylist(), None], strict=True):
-                if t is not None and (t in seen or not text or len(text) < length):
-                    continue
-                seen.add(t)
-                # Long texts go in parts that overlap by a window less a byte.
-                for base in range(0, len(text) - length + 1, CHUNK) if text else (None,):
-                    if texts and (base is None or size > CHUNK // 2):
-                        g, d, a, b = anchors(texts, length)
-                        a, b = (x + np.array(bases, np.int64)[d] for x in (a, b))
-                        yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.array(ids, np.int64)[d]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["gram", "t", "first", "last"])
-                        texts, ids, bases, size = [], [], [], 0
-                    if base is not None:
-                        texts.append(text[base : base + CHUNK + length - 1])
-                        ids.append(t)
-                        bases.append(base)
-                        size += len(texts[-1])
-
-    places = staged(docs.mapInArrow(sample, "gram long, t long, first int, last int"), f"{home}/anchors")
-    grams = staged(places.groupBy("gram").count().where("count > 1").select("gram", (F.col("count") > hot).alias("hot")), f"{home}/grams", "uncompressed")
-    mine = places.join(grams, "gram").groupBy("t").agg(F.collect_set(F.struct("gram", "first", "last", "hot")).alias("at"))
+            for t, base, text in [*zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True), (None, None, None)]:
+                if t is not None:
+                    if (t, base) in seen:
+                        continue
+                    seen.add((t, base))
+                if texts and (t is None or size > CHUNK // 2):
+                    g, d, a, b, content = anchors(texts, length)
+                    stands, again = repeats(texts, g, d, a, b, content)
+                    t_, base_ = np.array(ids, np.int64), np.array(bases, np.int32)
+                    go, both = ~again, stands | again
+                    rd, ra, rb = joined_ranges(d[both], a[both], b[both])
+                    for gram, of, x, y, k in ((pa.array(g[go].view(np.int64)), d[go], a[go], b[go], stands[go]), (pa.nulls(len(rd), pa.int64()), rd, ra, rb, np.ones(len(rd), bool))):
+                        yield pa.RecordBatch.from_arrays([gram, pa.array(t_[of]), pa.array(base_[of]), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(k)], names)
+                    texts, ids, bases, size = [], [], [], 0
+                if t is not None:
+                    texts.append(text)
+                    ids.append(t)
+                    bases.append(base)
+                    size += len(text)
+
+    places = staged(parts.mapInArrow(sample, "gram long, t long, base int, first int, end int, known boolean"), f"{home}/anchors")
+    again = places.where("gram is null").select("t", (F.col("base") + F.col("first")).cast("long").alias("start"), (F.col("base") + F.col("end")).cast("long").alias("end"))
+    grams = staged(places.where("gram is not null").groupBy("gram").count().where("count > 1").select("gram", (F.col("count") > hot).alias("hot")), f"{home}/grams", "uncompressed")
+    mine = places.join(grams, "gram").groupBy("t", "base").agg(F.sum(F.col("end") - F.col("first")).alias("n"), F.collect_set(F.struct("gram", "first", "end", "hot", "known")).alias("at"))
     mine = staged(mine, f"{home}/candidates")
-    drop_dir(spark, f"{home}/anchors")
+    # A bucket holds about BUCKET bytes of suffixes, however many there are in all.
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (mine.agg(F.sum("n")).first()[0] or 0) // BUCKET + 1)
     drop_dir(spark, f"{home}/grams")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         entries: dict[bytes, list[tuple[int, int]]] = {}
         hots: set[bytes] = set()
+        known: set[bytes] = set()
         size = 0
         for batch in in_slices(batches):
-            at = batch.column(2)
+            at = batch.column(3)
             offsets = at.offsets.to_numpy() - at.offsets[0].as_py()
-            gram, first, last, is_hot = (x.to_numpy(zero_copy_only=False) for x in at.flatten().flatten())
+            gram, first, end, is_hot, is_known = (x.to_numpy(zero_copy_only=False) for x in at.flatten().flatten())
             heads = gram.astype(">i8").tobytes()
-            first, last, is_hot = first.tolist(), last.tolist(), is_hot.tolist()
-            for row, (text, t) in enumerate(zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True)):
-                if t in seen:
-                    continue
-                seen.add(t)
+            first, end, is_hot, is_known = first.tolist(), end.tolist(), is_hot.tolist(), is_known.tolist()
+            for row, (t, base, text) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
                 for k in range(offsets[row], offsets[row + 1]):
                     head = heads[8 * k : 8 * k + 8]
-                    s = head + text[first[k] : last[k] + length]
+                    s = head + text[first[k] : end[k]]
                     if is_hot[k]:
                         hots.add(head)
+                    if is_known[k]:
+                        known.add(s)
                     if s in entries:
-                        entries[s].append((t, first[k]))
+                        entries[s].append((t, base + first[k]))
+                        size += 100
                     else:
-                        entries[s] = [(t, first[k])]
-                        size += len(s)
+                        entries[s] = [(t, base + first[k])]
+                        size += len(s) + 100
                 if size > RUN:
-                    yield from sent_runs(entries, hots, buckets, length)
-                    entries, hots, size = {}, set(), 0
+                    yield from sent_runs(entries, known, hots, buckets)
+                    entries, known, hots, size = {}, set(), set(), 0
         if entries:
-            yield from sent_runs(entries, hots, buckets, length)
+            yield from sent_runs(entries, known, hots, buckets)
 
-    joined = docs.join(mine.withColumnRenamed("t", "u"), F.col("t") == F.col("u")).select("text", "t", "at")
+    # Copies of a text are put together before they are shuffled.
+    once = parts.groupBy("t", "base").agg(F.min("piece").alias("piece"))
+    joined = once.join(mine, ["t", "base"]).select("t", "base", "piece", "at")
     runs = staged(joined.mapInArrow(sort, OUT_SQL), f"{home}/runs")
     drop_dir(spark, f"{home}/candidates")
 
@@ -368,7 +420,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame
     merged = staged(runs.where("bucket >= 0").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, OUT_SQL), f"{home}/merged")
     hot_windows = hot_ranges(merged.where("bucket = -2").select("blob", "t", "start", "known"), buckets, home, length)
     found = lambda x: x.where("bucket = -1").select("t", "start", "end")
-    return found(runs).union(found(merged)).union(hot_windows)
+    return again.union(found(runs)).union(found(merged)).union(hot_windows)
 
 
 def hot_ranges(rows: DataFrame, buckets: int, home: str, length: int) -> DataFrame:
@@ -441,6 +493,11 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
     bounded(spark)
     home = shared_dir(spark)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    # Two texts with one name of 64 bits are told apart by 128: all but one get another name.
+    whole = F.unhex(F.md5(F.col("text").cast("binary")))
+    clash = staged(own.select("t", whole.alias("m")).groupBy("t").agg(F.min("m").alias("l"), F.max("m").alias("u")).where("l <> u").select(F.col("t").alias("c"), "l"), f"{home}/clash")
+    if not clash.isEmpty():
+        own = own.join(clash, F.col("t") == F.col("c"), "left").select("doc_id", "text", F.when(F.col("l") != whole, F.xxhash64(whole)).otherwise(F.col("t")).alias("t"))
     twice = own.select("t", F.octet_length("text").alias("n")).groupBy("t").agg(F.count("*").alias("k"), F.max("n").alias("n")).where((F.col("k") > 1) & (F.col("n") >= length)).select("t", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
     found = repeated(own.select("text", "t"), length, hot).union(twice)
     by_text = staged(found.groupBy(F.col("t").alias("u")).agg(F.collect_set(F.struct("start", "end")).alias("found")), f"{home}/found")

@@ -15,6 +15,7 @@ from llm.conftest import prose, table
 from pyspark.sql import functions as F
 
 from pitlake.llm import decontam, jaccard, langid, licenses, linededup, packing, quality, secret_scan, suffixdedup, warc
+from pitlake.llm.common import row_name
 from pitlake.llm.components import components
 from pitlake.llm.queries import ORACLES, QUERIES
 
@@ -247,7 +248,8 @@ def test_automaton_gives_matching_statistics():
     got = [(end - 1, n) for end, n, _ in a.maximal(doc, 4)]
     assert set(got) == {(k, stat[k]) for k in grows if stat[k] >= 4}
     for end, n, state in a.maximal(doc, 4):
-        assert all(texts[t][p - n : p] == doc[end - n : end] for t, p in a.ends[state].items()) and a.ends[state]
+        run = doc[end - n : end]
+        assert sorted(a.ends[state]) == [(t, p) for t, x in enumerate(texts) for p in range(n, len(x) + 1) if x[p - n : p] == run]
 
 
 def test_spans_cover_a_changed_license():
@@ -256,6 +258,7 @@ def test_spans_cover_a_changed_license():
     changed = [b"x"] * 5 + t[:30] + [b"new", b"words"] + t[31:] + [b"y"] * 3
     found = {x[2]: x for x in s.spans(changed)}
     assert found["mit-text"][:2] == (5, 5 + len(t) + 1) and found["mit-text"][3] > 0.95
+    assert [x[:3] for x in s.spans(t + [b"z"] * 30 + t)] == [(0, len(t), "mit-text"), (len(t) + 30, 2 * len(t) + 30, "mit-text")]
     assert s.spans(t[: len(t) // 3]) == [] or all(x[2] != "mit-text" for x in s.spans(t[: len(t) // 3]))
 
 
@@ -414,7 +417,7 @@ def test_large_clusters_send_each_text_a_few_times(spark):
     for leaf in (16, 64):
         groups = jaccard.star_groups(star, slim, 8, 10, leaf)
         assert groups.count() <= 20 * len(rows)
-    texts = docs.join(slim, jaccard.row_name(F.col("doc_id"), F.col("text")) == F.col("r")).select("c", "text")
+    texts = docs.join(slim, row_name(F.col("doc_id"), F.col("text")) == F.col("r")).select("c", "text")
     label = components(jaccard.verified(jaccard.staged(groups, f"{home}/groups"), texts, 5, 8, 10))
     assert label.select("label").distinct().count() == 1
     assert jaccard.open_nodes(star, slim, label, 16).count() == 0
