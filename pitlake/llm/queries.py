@@ -86,6 +86,55 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_jaccard_join, op3_quality_rules, op4_secret_scan, op5_packing, op6_line_dedup, op7_warc, op8_license_scan, op9_decontamination, op10_suffix_dedup)}
 
 ORACLES: dict[str, str] = {
+    "op2_jaccard_join": r"""
+with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+sets as materialized (select doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) s from w where len(w) > 0),
+tokens as materialized (select doc_id, len(s) n, unnest(s) g from sets),
+common as (select a.doc_id a, b.doc_id b, any_value(a.n) n, any_value(b.n) m, count(*) k from tokens a join tokens b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as materialized (select a, b from common where 100 * k >= 90 * (n + m - k)),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a doc_id, min(b) least from reach group by a)
+select w.doc_id, coalesce(len(s), 0)::bigint n_shingles, least(w.doc_id, coalesce(least, w.doc_id)) component_id
+from w left join sets using (doc_id) left join least using (doc_id)""",
+    "op3_quality_rules": r"""
+with w as materialized (select row_number() over () r, doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) l from documents),
+win as materialized (select r, i, array_to_string(w[i:i + 7], ' ') g from (select r, w, unnest(range(1, len(w) - 6)) i from w where len(w) >= 8)),
+rep as (select r, count(distinct p) n from (select r, unnest(range(i, i + 8)) p from win join (select r, g from win group by r, g having count(*) > 1) using (r, g)) group by r),
+counts as (select w.r, doc_id, lang, source, len(w) n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) n_symbols, len(l) n_lines, len(l) - len(list_distinct(l)) n_dup_lines, coalesce(rep.n, 0) n_repeat_words, len(regexp_extract_all(t, '[!?]')) n_exclaims from w left join rep using (r)),
+m as materialized (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from counts),
+measured as materialized (select r, lang, source, unnest([
+  {'metric': 'word_length', 'v': 1000 * word_chars // greatest(n_words, 1), 'of': n_words}, {'metric': 'symbols', 'v': 1000 * n_symbols // greatest(n_words, 1), 'of': n_words},
+  {'metric': 'dup_lines', 'v': 1000 * n_dup_lines // greatest(n_lines, 1), 'of': n_lines}, {'metric': 'repeats', 'v': 1000 * n_repeat_words // greatest(n_words, 1), 'of': n_words},
+  {'metric': 'exclaims', 'v': 1000 * n_exclaims // greatest(n_words, 1), 'of': n_words}], recursive := true) from m where not base_failed),
+trusted(metric, low, high) as (values ('word_length', 10, 90), ('symbols', null, 90), ('dup_lines', null, 99), ('repeats', null, 99), ('exclaims', null, 90)),
+sketch as materialized (select coalesce(lang, chr(1)) lang, coalesce(source, chr(1)) source, metric, case when v < 64 then v else (v >> (length(bin(v)) - 6)) + 32 * (length(bin(v)) - 6) end bucket, count(*) n from measured group by all),
+grouped as (select 0 level, lang, source, metric, bucket, n from sketch union all select 1, lang, '', metric, bucket, sum(n) from sketch group by all union all select 2, '', '', metric, bucket, sum(n) from sketch group by all),
+upto as (select *, sum(n) over (partition by level, lang, source, metric order by bucket) upto, sum(n) over (partition by level, lang, source, metric) total from grouped join trusted using (metric)),
+q as (select level, lang, source, metric, max(total) total, min(bucket) filter (where upto * 100 >= total * coalesce(low, 0)) a, min(bucket) filter (where upto * 100 >= total * 50) b, min(bucket) filter (where upto * 100 >= total * high) c from upto group by all),
+top as materialized (select level, lang, source, metric, total, unnest(list_transform([a, b, c], lambda x: case when x < 64 then x else (x - (x // 32 - 1) * 32 + 1) * (1::bigint << (x // 32 - 1)::int) - 1 end)) t, unnest(['a', 'b', 'c']) k from q),
+tops as materialized (select level, lang, source, metric, max(total) total, max(t) filter (where k = 'a') a, max(t) filter (where k = 'b') b, max(t) filter (where k = 'c') c from top group by all),
+fence as (select x.lang, x.source, x.metric, case when x.total >= 200 then x.a when y.total >= 200 then y.a else z.a end a, case when x.total >= 200 then x.b when y.total >= 200 then y.b else z.b end b, case when x.total >= 200 then x.c when y.total >= 200 then y.c else z.c end c
+  from tops x join tops y on y.level = 1 and x.lang = y.lang and x.metric = y.metric join tops z on z.level = 2 and x.metric = z.metric where x.level = 0),
+inside as (select r, bool_and(v <= c + 2.5::double * greatest(c - b, 1000 / greatest("of", 1)) and (measured.metric <> 'word_length' or v >= a - 2.5::double * greatest(b - a, 1000 / greatest("of", 1)))) ok
+  from measured join fence on coalesce(measured.lang, chr(1)) = fence.lang and coalesce(measured.source, chr(1)) = fence.source and measured.metric = fence.metric group by r)
+select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed, coalesce(ok, false) and not base_failed kept
+from m left join inside using (r)""",
+    "op7_warc": r"""
+with p as (select page_id, coalesce(html, '') h, max(page_id) over (partition by coalesce(html, '')) o from pages),
+d as (select page_id, o, strlen(h) n, array_to_string(list_transform(string_split(sha1(h), ''), lambda x: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', x)]), '') bits from p)
+select page_id, n::bigint payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * bits[5 * i + 1]::int + 8 * bits[5 * i + 2]::int + 4 * bits[5 * i + 3]::int + 2 * bits[5 * i + 4]::int + bits[5 * i + 5]::int, 1)), '') payload_digest,
+  case when o = page_id then 'response' else 'revisit' end record_type, case when o <> page_id then o end refers_to
+from d""",
+    "op10_suffix_dedup": r"""
+with t as materialized (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) x from documents),
+win as materialized (select r, i, md5_number(substr(x, (2 * i + 1)::int, 400)) h from (select r, x, unnest(range(0, strlen(x) // 2 - 199)) i from t)),
+again as materialized (select r, i from win join (select h from win group by h having count(*) > 1) using (h)),
+runs as materialized (select r, min(i) a, max(i) + 200 b from (select r, i, sum(new) over (partition by r order by i) g from (select r, i, (coalesce(i - lag(i) over (partition by r order by i), 201) > 200)::int new from again)) group by r, g),
+cut as (select r, sum(b - a) n, count(*) k, list(b order by a) bs, list(a order by a) xs from runs group by r)
+select doc_id, (strlen(x) // 2)::bigint n_bytes, coalesce(n, 0)::bigint n_removed, coalesce(k, 0)::bigint n_spans,
+  sha256(unhex(case when k is null then x else array_to_string(list_transform(range(0, k + 1), lambda i: substr(x, (2 * case when i = 0 then 0 else bs[i] end + 1)::int, (2 * (case when i = k then strlen(x) // 2 else xs[i + 1] end - case when i = 0 then 0 else bs[i] end))::int)), '') end)) kept_sha256
+from t left join cut using (r)""",
     "op6_line_dedup": r"""
 with lines as (
   select doc_id, i, l, translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k
