@@ -7,6 +7,7 @@ can be repeated.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -110,7 +111,7 @@ class Registry:
         return sorted({d.owner for d in self.defs if d.owner})
 
 
-BASE_COLUMNS = frozenset({"transaction_id", "event_timestamp", "event_date", "customer_id", "merchant_id", "card_id", "amount", "currency", "channel", "country", "device_id", "is_fraud", "fraud_type", "label_timestamp", "home_country", "signup_date", "account_tier", "merchant_category", "risk_band", "label_known", "is_trainable"})
+BASE_COLUMNS = frozenset({"transaction_id", "event_timestamp", "event_date", "customer_id", "merchant_id", "card_id", "amount", "currency", "channel", "country", "device_id", "is_fraud", "fraud_type", "label_timestamp", "home_country", "signup_date", "account_tier", "age_band", "merchant_category", "risk_band", "label_known", "is_trainable"})
 REGISTRY = Registry(reserved=BASE_COLUMNS)
 
 
@@ -127,11 +128,17 @@ def feature(*, tier: str = "model", owner: str | None = None, entity: str = "cus
     if any(w is not None and w <= 0 for w in (*(windows or ()), window)):
         raise ValueError("a window has a positive number of seconds")
 
+    into = REGISTRY if registry is None else registry
+
+    def definition(fn: FeatureFn, seconds: int | None, label: str) -> FeatureDef:
+        doc = inspect.getdoc(fn) or ""
+        return FeatureDef(name=(name or fn.__name__) + label, tier=tier, owner=owner, entity=entity, window_seconds=seconds, description=description or doc.partition("\n")[0], fn=fn, first_seen=tuple(first_seen))
+
     def register(fn: FeatureFn) -> FeatureFn:
-        base = name or fn.__name__
-        text = description or (fn.__doc__ or "").strip().split("\n")[0]
-        for w in windows or [window]:
-            (registry or REGISTRY).add(FeatureDef(f"{base}_{window_label(w)}" if windows else base, tier, owner, entity, w, text, fn, tuple(first_seen)))
+        if windows is None:
+            into.add(definition(fn, window, ""))
+        for seconds in windows or ():
+            into.add(definition(fn, seconds, f"_{window_label(seconds)}"))
         return fn
 
     return register

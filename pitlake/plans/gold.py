@@ -19,8 +19,10 @@ BASE = ("transaction_id", "event_timestamp", "event_date", "customer_id", "merch
 def build_base(txn: DataFrame, customers: DataFrame, merchants: DataFrame) -> DataFrame:
     """Transactions with their customer's and merchant's attributes, and the order key in whole seconds.
 
-    Dimensions are made unique first, so no transaction is repeated; Spark broadcasts them if their size allows it."""
-    c = customers.select("customer_id", "home_country", "signup_date", "account_tier").dropDuplicates(["customer_id"])
+    Dimensions are made unique first, so no transaction is repeated; Spark broadcasts them if their size allows it. A
+    customer table from before age bands has null ones."""
+    band = F.col("age_band") if "age_band" in customers.columns else F.lit(None).cast("string").alias("age_band")
+    c = customers.select("customer_id", "home_country", "signup_date", "account_tier", band).dropDuplicates(["customer_id"])
     m = merchants.select("merchant_id", F.col("category").alias("merchant_category"), "risk_band").dropDuplicates(["merchant_id"])
     return txn.join(c, "customer_id", "left").join(m, "merchant_id", "left").withColumn(EVENT_TIME, F.col("event_timestamp").cast("timestamp").cast("long"))
 

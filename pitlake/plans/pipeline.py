@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from .. import schemas
 from ..functions import fraud, shared  # noqa: F401  registers the features
 from ..functions.contract import REGISTRY, Registry
 from ..operators.checks import gate, run_checks
-from ..operators.dedup import split_duplicates
+from ..operators.dedup import versioned
 from ..operators.labels import join_labels, parse_as_of
 from ..operators.profile import profile
 from ..operators.validate import InvariantError, check_partition, split, tagged
@@ -49,14 +49,12 @@ def bronze(spark: SparkSession, store: TableStore, raw: str, run_at: datetime |
     store.merge_upsert("bronze.fraud_labels", labels, "transaction_id", "label_date", latest_by="label_timestamp")
     for name, schema in DIMENSIONS.items():
         store.replace(f"bronze.{name}", read_jsonl(spark, f"{raw}/dimensions/{name}.jsonl", schema, run_at))
-    return Published({t: store.history(t)[-1].total_records for t in ("bronze.transactions", "bronze.fraud_labels", *(f"bronze.{d}" for d in DIMENSIONS))})
+    return Published({t: store.records(t) for t in ("bronze.transactions", "bronze.fraud_labels", *(f"bronze.{d}" for d in DIMENSIONS))})
 
 
 def validated(bronze_rows: DataFrame, policy: Policy, dims: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine with reject_reason) of a load."""
-    ok, bad = split(tagged(bronze_rows, policy, dims))
-    unique, older = split_duplicates(ok, policy.dedup)
-    return unique, bad.unionByName(older)
+    return split(versioned(tagged(bronze_rows, policy, dims), policy.dedup))
 
 
 def silver(spark: SparkSession, store: TableStore, policy: Policy | None = None, run_at: datetime | None = None) -> Published:
@@ -67,12 +65,19 @@ def silver(spark: SparkSession, store: TableStore, policy: Policy | None = None,
     policy = policy or load_policy(now=run_at)
     store.create_namespace("silver")
     rows = store.read("bronze.transactions")
-    tag = tagged(rows, policy, {t: store.read(f"bronze.{t}") for t in {k.table for k in policy.foreign_keys}}).persist(StorageLevel.DISK_ONLY)
+    held: list[str] = []
+
+    def frozen(df: DataFrame) -> DataFrame:
+        """df, written once beside the tables: it is read several times, and lost executors cost no second validation."""
+        out, path = store.stage("silver.transactions", df)
+        held.append(path)
+        return out
+
     try:
-        ok, bad = split(tag)
-        unique, older = split_duplicates(ok, policy.dedup)
-        quarantine = bad.unionByName(older).withColumn("quarantined_at", F.lit(run_at).cast("timestamp")).persist(StorageLevel.DISK_ONLY)
-        valid = join_labels(unique, store.read("bronze.fraud_labels")).persist(StorageLevel.DISK_ONLY)
+        tag = frozen(versioned(tagged(rows, policy, {t: store.read(f"bronze.{t}") for t in {k.table for k in policy.foreign_keys}}), policy.dedup))
+        unique, rejected = split(tag)
+        quarantine = rejected.withColumn("quarantined_at", F.lit(run_at).cast("timestamp"))
+        valid = frozen(join_labels(unique, store.read("bronze.fraud_labels")))
         total, n_valid, n_bad = rows.count(), valid.count(), quarantine.count()
         check_partition(total, n_valid, n_bad)
         verdicts, failed = run_checks(spark, policy.checks, rows, valid, quarantine, run_at)
@@ -82,10 +87,9 @@ def silver(spark: SparkSession, store: TableStore, policy: Policy | None = None,
         store.replace("silver.quarantine", quarantine)
         store.append("silver.data_profile", profile(store.read("silver.transactions"), run_at))
         reasons = {r[0]: r[1] for r in quarantine.groupBy("reject_reason").count().collect()}
-        for x in (valid, quarantine):
-            x.unpersist()
     finally:
-        tag.unpersist()
+        for path in held:
+            store.unstage(path)
     return Published({"bronze": total, "valid": n_valid, "quarantine": n_bad, **dict(sorted(reasons.items(), key=lambda x: -x[1]))})
 
 
@@ -105,7 +109,7 @@ def gold(spark: SparkSession, store: TableStore, as_of: str | None = None, run_a
     txn = store.read("silver.transactions")
     base = build_base(txn, dimension(store, "customers"), dimension(store, "merchants"))
     common = store.replace("gold.customer_features", shared_table(base, registry), "event_date")
-    counts = {"base": store.history("silver.transactions")[-1].total_records, "gold.customer_features": store.history("gold.customer_features")[-1].total_records}
+    counts = {"base": store.records("silver.transactions"), "gold.customer_features": store.records("gold.customer_features")}
     for owner in registry.owners():
         table = store.replace(f"gold.{owner}_features", owner_table(base, common, owner, at, registry), "event_date")
         r = table.agg(F.count(F.lit(1)), F.count_if("is_trainable"), F.count_if(F.col("is_trainable") & (F.col("is_fraud") == 1))).first()
@@ -117,13 +121,14 @@ def gold(spark: SparkSession, store: TableStore, as_of: str | None = None, run_a
 
 
 def main(argv: list[str] | None = None) -> None:
-    from ..session import session
+    from ..session import session, ship
 
     p = argparse.ArgumentParser(prog="pitlake", description="Run a layer, or all of them.")
     p.add_argument("layer", choices=["generate", "bronze", "silver", "gold", "all"])
     p.add_argument("--raw", required=True, help="folder of the raw feeds")
     p.add_argument("--store", help="folder of the tables")
     p.add_argument("--rules", type=Path, help="YAML quality policy")
+    p.add_argument("--features", type=Path, action="append", default=[], help="package of further features: imported here, shipped to the executors")
     p.add_argument("--as-of", default="now", help="moment from which labels are looked at")
     p.add_argument("--customers", type=int, default=2000)
     p.add_argument("--merchants", type=int, default=300)
@@ -132,6 +137,9 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--dirty-rate", type=float, default=0.0)
     a = p.parse_args(argv)
     spark = session()
+    ship(spark, *a.features)
+    for folder in a.features:
+        importlib.import_module(folder.resolve().name)
     if a.layer == "generate":
         from ..generate import generate
 

@@ -15,14 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fraud, shared  # noqa: F401  registers the features
-from ..functions.contract import REGISTRY, Ctx
+from ..functions.contract import REGISTRY, Registry, feature
 from ..operators import checks, merge
-from ..operators.dedup import split_duplicates
+from ..operators.dedup import split_duplicates, versioned
 from ..operators.labels import join_labels, labels_as_of
 from ..operators.profile import profile
 from ..operators.validate import split, tagged
-from ..session import prepared
+from ..session import prepared, shared_path
 from ..sources.rules import Policy, load_policy
+from ..sources.store import TableStore
 from .gold import apply_features, build_base, registry_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +48,7 @@ LAB = """
 select concat('txn_', cast(event_id as string)) transaction_id, case when event_id % 40 = 0 then 1 else 0 end is_fraud, case when event_id % 40 = 0 then 'pattern_' || cast(event_id % 3 as string) end fraud_type,
  ts + (case when event_id % 40 = 0 then 7 + event_id % 28 else 1 + event_id % 9 end) * interval '1' day label_timestamp from {events} where event_id % 17 <> 0
 """
-CUSTOMERS = "select concat('cust_', cast(c_custkey as string)) customer_id, concat('N', cast(c_nationkey as string)) home_country, c_mktsegment account_tier, cast(date '2023-06-01' - cast(c_custkey % 1000 as int) * interval '1' day as date) signup_date from {customer}"
+CUSTOMERS = "select concat('cust_', cast(c_custkey as string)) customer_id, concat('N', cast(c_nationkey as string)) home_country, c_mktsegment account_tier, case when c_custkey % 11 = 0 then null else concat('band_', cast(c_custkey % 4 as string)) end age_band, cast(date '2023-06-01' - cast(c_custkey % 1000 as int) * interval '1' day as date) signup_date from {customer}"
 MERCHANTS = "select concat('merch_', cast(s_suppkey as string)) merchant_id, concat('category_', cast(s_suppkey % 10 as string)) category, case when s_suppkey % 5 = 0 then 'high' else 'low' end risk_band from {supplier}"
 
 
@@ -92,15 +93,26 @@ class Inputs:
         """(valid, older versions)"""
         return split_duplicates(split(self.tagged())[0], self.policy.dedup)
 
+    def verdicts(self) -> DataFrame:
+        """All rows, with their reason or none: one pass over the load."""
+        return versioned(self.tagged(), self.policy.dedup)
+
     def quarantine(self) -> DataFrame:
-        return split(self.tagged())[1].unionByName(self.deduped()[1])
+        return split(self.verdicts())[1]
 
     def valid(self) -> DataFrame:
+        """Spark keeps one version a key and task before it shuffles, as nobody asks for the others here."""
         return self.deduped()[0]
 
     def labelled(self) -> DataFrame:
         return join_labels(self.valid(), self.labels)
 
+    def frozen(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written once: what follows reads it several times."""
+        path = shared_path(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def base(self) -> DataFrame:
         return build_base(self.labelled(), self.customers, self.merchants)
 
@@ -127,7 +139,7 @@ numbered as (select * exclude (reject_reason), row_number() over (partition by t
 valid as (select * exclude (v) from numbered where v = 1),
 quarantine as (select * from tagged where reject_reason is not null union all select * exclude (v), 'duplicate (older version)' from numbered where v > 1),
 labelled as (select v.*, l.is_fraud, l.fraud_type, l.label_timestamp from valid v left join lab l using (transaction_id)),
-base as (select l.*, c.home_country, c.signup_date, c.account_tier, m.category merchant_category, m.risk_band, epoch_us(l.event_timestamp) // 1000000 u from labelled l left join customers c using (customer_id) left join merchants m using (merchant_id)),
+base as (select l.*, c.home_country, c.signup_date, c.account_tier, c.age_band, m.category merchant_category, m.risk_band, epoch_us(l.event_timestamp) // 1000000 u from labelled l left join customers c using (customer_id) left join merchants m using (merchant_id)),
 known as (select *, coalesce(label_timestamp <= timestamp '2024-01-20 00:00:00', false) label_known from labelled)
 """
 WINDOWS = """
@@ -248,10 +260,10 @@ def q_reject_histogram(i: Inputs) -> DataFrame:
 
 @query(f"{CTE} select (select count(*) from txn) as n_bronze, (select count(*) from valid) as n_valid, (select count(*) from quarantine) as n_quarantine, (select count(*) from valid) + (select count(*) from quarantine) = (select count(*) from txn) as holds")
 def q_invariant(i: Inputs) -> DataFrame:
-    n = lambda df, c: df.agg(*[F.count(F.lit(1)).alias(x) if x == c else F.lit(0).cast("long").alias(x) for x in ("n_bronze", "n_valid", "n_quarantine")])
-    all_counts = reduce(DataFrame.unionAll, [n(i.txn, "n_bronze"), n(i.valid(), "n_valid"), n(i.quarantine(), "n_quarantine")])
-    s = all_counts.agg(*[F.sum(c).alias(c) for c in ("n_bronze", "n_valid", "n_quarantine")])
-    return s.withColumn("holds", F.col("n_valid") + F.col("n_quarantine") == F.col("n_bronze"))
+    read = i.txn.agg(F.count(F.lit(1)).alias("n_bronze"))
+    ok = F.col("reject_reason").isNull()
+    told = i.verdicts().agg(F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_quarantine"))
+    return read.join(F.broadcast(told)).withColumn("holds", F.col("n_valid") + F.col("n_quarantine") == F.col("n_bronze"))  # one row each
 
 
 @query("select source, n from (select 'events' source, count(*) n from events union all select 'customer', count(*) from customer union all select 'supplier', count(*) from supplier)")
@@ -303,9 +315,9 @@ def q_fraud_type_histogram(i: Inputs) -> DataFrame:
     return i.labels.where("is_fraud = 1").groupBy("fraud_type").agg(F.count("*").alias("n"))
 
 
-@query(f"{CTE} select transaction_id, home_country, cast(signup_date as varchar) as signup_date, account_tier, merchant_category, risk_band, u as event_unix from base")
+@query(f"{CTE} select transaction_id, home_country, cast(signup_date as varchar) as signup_date, account_tier, merchant_category, risk_band, age_band, u as event_unix from base")
 def q_dim_enrich(i: Inputs) -> DataFrame:
-    return i.base().select("transaction_id", "home_country", F.col("signup_date").cast("string").alias("signup_date"), "account_tier", "merchant_category", "risk_band", F.col("_event_unix").alias("event_unix"))
+    return i.base().select("transaction_id", "home_country", F.col("signup_date").cast("string").alias("signup_date"), "account_tier", "merchant_category", "risk_band", "age_band", F.col("_event_unix").alias("event_unix"))
 
 
 def _value(df: DataFrame) -> DataFrame:
@@ -351,7 +363,8 @@ union all select 'country_mix_not_skewed', 'warn', (select max(n) / sum(n) from
 union all select 'amount_mean_plausible', 'warn', (select avg(amount) from valid), 1.0, 5000.0)
 select check_name, severity, round(v, 9) as observed_value, coalesce(v >= lo, true) and coalesce(v <= hi, true) as passed from m""")
 def q_batch_checks(i: Inputs) -> DataFrame:
-    rows, _ = checks.run_checks(i.spark, i.policy.checks, i.txn, i.labelled(), i.quarantine(), NOW)
+    ok, bad = split(i.frozen(i.verdicts(), "verdicts"))
+    rows, _ = checks.run_checks(i.spark, i.policy.checks, i.txn, join_labels(ok, i.labels), bad, NOW)
     return rows.select("check_name", "severity", F.round("observed_value", 9).alias("observed_value"), "passed")
 
 
@@ -396,13 +409,26 @@ def q_shared_features(i: Inputs) -> DataFrame:
 
 @query(f"{CTE}, f as (select transaction_id, {', '.join(f'{FEATURES[n]} as {n}' for n in MODEL + SHARED)} from base {WINDOWS.format(e='customer_id')}) select f.*, label_known, label_known as is_trainable, case when label_known then is_fraud end as is_fraud from f join known using (transaction_id)")
 def q_owner_features(i: Inputs) -> DataFrame:
-    base = i.base()
-    common, _ = apply_features(base, REGISTRY.registered(tier="shared"))
-    own, _ = apply_features(base, REGISTRY.registered(owner="fraud"))
-    both = own.join(common.select("transaction_id", *SHARED), "transaction_id")
+    """All features on one frame: the windows over an entity share its exchange."""
+    both, _ = apply_features(i.base(), REGISTRY.registered(tier="shared") + REGISTRY.registered(owner="fraud"))
     return labels_as_of(both, AS_OF).select("transaction_id", *[_out(n) for n in MODEL + SHARED], "label_known", "is_trainable", "is_fraud")
 
 
+OWN = Registry()
+
+
+@feature(owner="queries", registry=OWN)
+def same_band_count(f):  # noqa: ANN001, ANN201
+    """Earlier transactions of a customer whose age band is known."""
+    return F.when(f.col("age_band").isNotNull(), F.count("age_band").over(f.history)).otherwise(-1)
+
+
+@query(f"{CTE} select transaction_id, age_band, case when age_band is not null then count(age_band) over (partition by customer_id order by u, transaction_id rows between unbounded preceding and 1 preceding) else -1 end as same_band_count from base")
+def q_feat_age_band(i: Inputs) -> DataFrame:
+    df, names = apply_features(i.base(), OWN.registered())
+    return df.select("transaction_id", "age_band", *[F.col(n).cast("long").alias(n) for n in names])
+
+
 @query("select * from (values " + ", ".join(f"('{d.name}', '{d.tier}', {repr(d.owner) if d.owner else 'null'}, '{d.entity}', cast({d.window_seconds or 'null'} as bigint))" for d in REGISTRY.registered()) + ") t(feature_name, tier, owner, entity, window_seconds)")
 def q_feature_registry(i: Inputs) -> DataFrame:
     early, late = registry_rows(i.spark, datetime(2024, 1, 1)), registry_rows(i.spark, NOW)
@@ -416,23 +442,51 @@ def q_new_device_linear(i: Inputs) -> DataFrame:
     return _features(i, ["is_new_device", "distinct_devices_hist"])
 
 
-@query(_feature_sql(["is_new_device", "distinct_devices_hist"]))
-def q_new_device_sets(i: Inputs) -> DataFrame:
-    """The quadratic form, by sets over the history."""
-    seen = F.collect_set("device_id").over(Ctx().history)
-    return i.base().select("transaction_id", F.when(F.col("device_id").isNotNull(), ~F.array_contains(seen, F.col("device_id"))).alias("is_new_device"), F.size(seen).cast("long").alias("distinct_devices_hist"))
+def _merge_sides(rows: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(target, source) as in the queries of the merges' algebra."""
+    ids = rows.select("transaction_id", *columns).withColumn("k", F.substring("transaction_id", 5, 20).cast("long"))
+    return ids.where("k % 3 <> 0").drop("k").withColumn("origin", F.lit("old")), ids.where("k % 2 = 0").drop("k").withColumn("origin", F.lit("new"))
 
 
-@query(None)
+@query(ORACLES["q_merge_insert_only"])
+def q_store_merge_insert(i: Inputs) -> DataFrame:
+    """The same merge by the table store, made twice: the second time adds nothing."""
+    store = TableStore(i.spark, shared_path(i.spark, "store"))
+    target, source = _merge_sides(i.frozen(i.valid(), "valid"), "amount")
+    store.replace("q.t", target)
+    if store.merge_insert("q.t", source, "transaction_id") and store.merge_insert("q.t", source, "transaction_id"):
+        raise RuntimeError("a merge that was made twice added rows")
+    return store.read("q.t")
+
+
+@query(ORACLES["q_merge_upsert"])
+def q_store_merge_upsert(i: Inputs) -> DataFrame:
+    """The same merge by the table store."""
+    store = TableStore(i.spark, shared_path(i.spark, "store"))
+    target, source = _merge_sides(i.labels, "is_fraud", "fraud_type")
+    store.replace("q.t", target)
+    store.merge_upsert("q.t", source.withColumn("is_fraud", 1 - F.col("is_fraud")), "transaction_id")
+    return store.read("q.t")
+
+
+@query("select 0 as version, 'replace' as operation, (select count(*) from events where event_id % 3 = 0) as added_records, (select count(*) from events where event_id % 3 = 0) as total_records union all select 1, 'append', (select count(*) from events where event_id % 3 = 1), (select count(*) from events where event_id % 3 < 2) union all select 2, 'merge_insert', (select count(*) from events where event_id % 3 = 2), (select count(*) from events) union all select 3, 'compact', 0, (select count(*) from events)")
+def q_store_snapshots(i: Inputs) -> DataFrame:
+    """The commit log of a table that was replaced, appended to, merged into and compacted."""
+    store = TableStore(i.spark, shared_path(i.spark, "store"))
+    rows = i.spark.read.parquet(f"{i.dir}/events.parquet").select("event_id", "user_id")
+    store.replace("q.t", rows.where("event_id % 3 = 0"))
+    store.append("q.t", rows.where("event_id % 3 = 1"))
+    store.merge_insert("q.t", rows.where("event_id % 3 > 0"), "event_id")
+    store.compact("q.t")
+    return store.snapshots("q.t").select(F.col("version").cast("int").alias("version"), "operation", "added_records", "total_records")
+
+
+@query(f"{CTE} select {ROW_SQL}, {TIMES_SQL}, true as has_source from txn")
 def q_jsonl_roundtrip(i: Inputs) -> DataFrame:
     """Write the transactions as JSON Lines and read them back under their schema, with lineage."""
-    import tempfile
-    import uuid
-
     from .. import schemas
     from ..sources.jsonl import read_jsonl, write_jsonl
 
-    base = i.spark.conf.get("spark.checkpoint.dir", None) or i.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp()
-    path = f"{base}/pitlake-jsonl-{uuid.uuid4().hex}"
+    path = shared_path(i.spark, "jsonl")
     write_jsonl(i.txn.withColumn("dt", F.coalesce("event_date", F.lit("2024-01-01").cast("date"))).drop("event_date"), path, "dt")
-    return read_jsonl(i.spark, path, schemas.TRANSACTIONS, NOW).select(*ROW, "event_timestamp", "ingestion_timestamp", F.col("_source_file").isNotNull().alias("has_source"))
+    return read_jsonl(i.spark, path, schemas.TRANSACTIONS, NOW).select(*ROW, _seconds("event_timestamp"), _seconds("ingestion_timestamp"), F.col("_source_file").isNotNull().alias("has_source"))

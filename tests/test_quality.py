@@ -99,3 +99,21 @@ def test_split(spark):
     df = spark.createDataFrame([(1, None), (2, "bad")], "v int, reject_reason string")
     ok, bad = split(df)
     assert ok.columns == ["v"] and bad.count() == 1
+
+
+def test_other_spelling_of_policy_keys(tmp_path):
+    text = """
+row_validations:
+  - {name: amount_present, expr: "amount IS NOT NULL", reject_reason: "monto nulo"}
+referential_checks:
+  - {name: customer_exists, column: customer_id, ref_table: customers, ref_column: customer_id, reject_reason: "cliente inexistente"}
+deduplication: {key: transaction_id, order_by: ingestion_timestamp, keep: latest, reject_reason: "duplicado"}
+batch_checks:
+  - {name: bronze_not_empty, severity: critical, metric: row_count, min: 1}
+"""
+    (tmp_path / "rules.yaml").write_text(text)
+    from pitlake.sources.rules import load_policy
+
+    p = load_policy(tmp_path / "rules.yaml")
+    assert p.rows[0].reason == "monto nulo" and p.foreign_keys[0].table == "customers" and p.foreign_keys[0].reference == "customer_id" and p.foreign_keys[0].reason == "cliente inexistente"
+    assert p.dedup.reason == "duplicado" and p.checks[0].name == "bronze_not_empty"
