@@ -9,7 +9,9 @@ a member only if decoding it yields a WARC header, and owns the members that sta
 wherever those lie. A damaged member is skipped up to the next valid one.
 
 Null html is an empty payload; a null url an empty target. A null page_id never answers for others, and its record has
-no number. Rows that repeat page_id and payload are all responses if they are the largest. No pages, no records.
+no number. Rows that repeat page_id and payload are all responses if they are the largest. A long payload is one record;
+its reader holds it whole. Columns other than page_id, url and html are not read, whatever their names. No pages, no
+records.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ VERSION = b"WARC/1.1"
 BREAK = b"\r\n\r\n"
 
 RANGE = 4 << 20
+RANGES = 8
 STEP = 256 << 10
 DATE = "1970-01-01T00:00:00Z"
 URN = "urn:page:"
@@ -177,7 +180,10 @@ def read_warc(archives: DataFrame, range_bytes: int = RANGE, payloads: bool = Tr
     """Records of archives (path, bytes): record_id, type, url, payload_bytes, payload_digest, refers_to, payload."""
     bounded(archives.sparkSession)
     ranges = archives.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.withColumn("end", F.least(F.col("start") + range_bytes, "bytes")).repartition(max(8, archives.sparkSession.sparkContext.defaultParallelism * 2))
+    n = archives.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 0
+    # A task reads RANGES ranges, however much there is to read: a lost executor costs little.
+    tasks = max(2 * archives.sparkSession.sparkContext.defaultParallelism, -(-n // RANGES))
+    ranges = ranges.withColumn("end", F.least(F.col("start") + range_bytes, "bytes")).repartition(tasks)
     names = ["record_id", "type", "url", "payload_bytes", "payload_digest", "refers_to", "payload"]
 
     def rows(path: str, size: int, start: int, end: int) -> Iterator[tuple]:
