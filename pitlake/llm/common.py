@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_path, ship
+
 # The byte classes that the operators' contracts name.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -26,16 +24,8 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent (a local session, as in tests) a temporary folder of this machine takes its place."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="pitlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/pitlake-{uuid.uuid4().hex}"
+    """A new folder below spark.checkpoint.dir, which driver and executors share; it goes when the session ends."""
+    path = shared_path(spark, "llm")
     _made.append((spark, path))
     return path
 
@@ -55,25 +45,17 @@ def _clean() -> None:
             return
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, wherever it lies; once for a context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_pitlake_shipped", False):
-        return
-    root = Path(__file__).parent.parent
-    target = Path(tempfile.mkdtemp(prefix="pitlake-code-")) / "pitlake_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    sc.addPyFile(str(target))
-    sc._pitlake_shipped = True
-
-
 def bounded(spark: SparkSession) -> None:
-    """Prepare a session for Python stages: ship the code, and keep what passes between Spark and Python small, since a batch is held several times over while it is worked on."""
+    """Prepare a session for Python stages: ship the code, and keep what passes between Spark and Python small, since a batch is held several times over while it is worked on.
+
+    The two settings are read when a frame runs, which is after this returns, so they stay; smaller ones that the caller
+    chose are left alone."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, "")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:

@@ -7,8 +7,10 @@ the fullest sequence, which is closed when there are too many, is the lowest set
 are placed longest first. Tasks pack on their own: nothing is shuffled, and a task that is run again gives the same
 sequences under the same numbers.
 
-A null text counts as empty: its document is the end token alone. Repeated rows are packed each. An empty table gives an
-empty result.
+A null text counts as empty: its document is the end token alone. A long text is cut into pieces, all of which are
+packed. Ties: of sequences with the same free space the one that got it last takes the piece, and pieces of one length
+follow the order of their rows. Repeated rows are packed each. Columns other than doc_id and text are not read, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
