@@ -53,7 +53,7 @@ def bounded(spark: SparkSession) -> None:
     ship(spark)
     for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key, "")
+        now = spark.conf.get(key)
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
