@@ -8,6 +8,7 @@ can be repeated.
 from __future__ import annotations
 
 import inspect
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -38,10 +39,11 @@ class Ctx:
 
     entity: str = "customer_id"
     window_seconds: int | None = None
+    cells: tuple[str, ...] = ()  # further keys of the windows, where rows have been dealt by time too
 
     @property
     def _by(self) -> WindowSpec:
-        return Window.partitionBy(self.entity)
+        return Window.partitionBy(self.entity, *self.cells)
 
     @property
     def ordered(self) -> WindowSpec:
@@ -68,6 +70,30 @@ class Ctx:
         return F.col(first_seen(column))
 
 
+@dataclass(frozen=True)
+class Probe(Ctx):
+    """Notes what a feature function asks for."""
+
+    asked: set[str] = field(default_factory=set)
+
+    def _note(self, what: str) -> None:
+        self.asked.add(what)
+
+    @property
+    def ordered(self) -> WindowSpec:
+        self._note("history")
+        return Ctx.ordered.fget(self)
+
+    @property
+    def history(self) -> WindowSpec:
+        self._note("history")
+        return Ctx.history.fget(self)
+
+    def is_first(self, column: str) -> Column:
+        self._note("history")
+        return super().is_first(column)
+
+
 FeatureFn = Callable[[Ctx], Column]
 
 
@@ -82,8 +108,14 @@ class FeatureDef:
     fn: FeatureFn
     first_seen: tuple[str, ...] = ()
 
-    def column(self, entity: str | None = None) -> Column:
-        return self.fn(Ctx(entity or self.entity, self.window_seconds))
+    def column(self, entity: str | None = None, cells: tuple[str, ...] = ()) -> Column:
+        return self.fn(Ctx(entity or self.entity, self.window_seconds, cells))
+
+    def asks(self) -> tuple[set[str], set[str]]:
+        """What the function uses besides its window (`history` or nothing), and the words of its expression."""
+        probe = Probe(self.entity, self.window_seconds)
+        words = set(re.findall(r"\w+", str(self.fn(probe))))
+        return probe.asked, words
 
 
 @dataclass

@@ -144,3 +144,45 @@ def test_registry_rows(spark):
 
 def test_context_without_window_is_history():
     assert repr(Ctx().window) is not None and Ctx("a", 60).window_seconds == 60
+
+
+def test_bounded_windows_are_dealt_by_time(spark):
+    """Cells of time change no value, and a hot entity's rows go to many tasks."""
+    import random
+
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from pitlake.functions.contract import EVENT_TIME
+    from pitlake.plans.gold import apply_features, cell_seconds
+
+    own = Registry()
+
+    @feature(owner="o", entity="channel", windows=[60, 300], registry=own)
+    def seen(f):
+        return F.count("*").over(f.window)
+
+    @feature(owner="o", entity="channel", window=300, registry=own)
+    def spent(f):
+        return F.sum(f.col("amount")).over(f.window)
+
+    rng = random.Random(1)
+    rows = [(k, "hot" if k % 9 else "cold", rng.choice([None, -5, 0, 4799, 4800, 4801]) if k % 50 == 0 else rng.randrange(-9000, 40_000), float(k % 7)) for k in range(3000)]
+    df = spark.createDataFrame(rows, f"transaction_id long, channel string, {EVENT_TIME} long, amount double")
+    defs = own.registered()
+    assert cell_seconds(defs) == 4800
+    got = {r.transaction_id: (r.seen_1min, r.seen_5min, r.spent) for r in apply_features(df, defs)[0].collect()}
+    w = lambda s: Window.partitionBy("channel").orderBy(EVENT_TIME).rangeBetween(-s, -1)
+    plain = df.select("transaction_id", F.count("*").over(w(60)), F.count("*").over(w(300)), F.sum("amount").over(w(300)))
+    assert got == {r[0]: tuple(r[1:]) for r in plain.collect()}
+
+    @feature(owner="o", entity="channel", window=300, registry=own)
+    def against_history(f):
+        return F.sum("amount").over(f.window) / F.count("*").over(f.history)
+
+    @feature(owner="o", entity="channel", window=300, registry=own)
+    def reads_another(f):
+        return f.col("spent") + 1
+
+    assert cell_seconds(own.registered()[:3]) and cell_seconds(own.registered()[:4]) is None
+    assert cell_seconds([d for d in own.registered() if d.name in ("spent", "reads_another")]) is None
