@@ -275,7 +275,7 @@ def q_table_counts(i: Inputs) -> DataFrame:
 target as (select * from ids where k % 3 <> 0), source as (select * from ids where k % 2 = 0)
 select transaction_id, amount, 'old' as origin from target union all select transaction_id, amount, 'new' from source where transaction_id not in (select transaction_id from target)""")
 def q_merge_insert_only(i: Inputs) -> DataFrame:
-    ids = i.valid().select("transaction_id", "amount").withColumn("k", F.substring("transaction_id", 5, 20).cast("long"))
+    ids = i.frozen(i.valid().select("transaction_id", "amount"), "valid").withColumn("k", F.substring("transaction_id", 5, 20).cast("long"))
     target, source = ids.where("k % 3 <> 0").drop("k").withColumn("origin", F.lit("old")), ids.where("k % 2 = 0").drop("k").withColumn("origin", F.lit("new"))
     return merge.merge_insert_only(target, source, "transaction_id")
 
@@ -291,7 +291,7 @@ def q_merge_upsert(i: Inputs) -> DataFrame:
 
 @query(f"""{CTE} select {ROW_SQL}, {TIMES_SQL} from valid where cast(substr(transaction_id, 5) as bigint) % 3 <> 0""")
 def q_incremental_antijoin(i: Inputs) -> DataFrame:
-    v = i.valid()
+    v = i.frozen(i.valid(), "valid")
     return _rows(merge.not_yet_published(v, v.where(F.substring("transaction_id", 5, 20).cast("long") % 3 == 0), "transaction_id"))
 
 
@@ -490,3 +490,77 @@ def q_jsonl_roundtrip(i: Inputs) -> DataFrame:
     path = shared_path(i.spark, "jsonl")
     write_jsonl(i.txn.withColumn("dt", F.coalesce("event_date", F.lit("2024-01-01").cast("date"))).drop("event_date"), path, "dt")
     return read_jsonl(i.spark, path, schemas.TRANSACTIONS, NOW).select(*ROW, _seconds("event_timestamp"), _seconds("ingestion_timestamp"), F.col("_source_file").isNotNull().alias("has_source"))
+
+
+@query(f"""{CTE}, near as (select column_name, true as is_near from (values {', '.join(f"('{c}')" for c in PROFILED)}) t(column_name)) select * from near""")
+def q_profile_approx_is_near(i: Inputs) -> DataFrame:
+    """Whether the approximate numbers of distinct values lie within a tenth of the exact ones."""
+    rows = i.txn.select(*PROFILED)
+    exact = profile(rows, NOW, exact=True).select("column_name", F.col("distinct_count").alias("n"))
+    return profile(rows, NOW).join(exact, "column_name").select("column_name", (F.abs(F.col("distinct_count") - F.col("n")) * 10 <= F.col("n")).alias("is_near"))
+
+
+def _feed(i: Inputs, rows: DataFrame, path: str) -> None:
+    from ..sources.jsonl import write_jsonl
+
+    write_jsonl(rows, path)
+
+
+def _streamed(i: Inputs, rows: DataFrame, name: str) -> DataFrame:
+    """What a stream appends until it has caught up."""
+    path = shared_path(i.spark, name)
+    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return i.spark.read.schema(rows.schema).parquet(path)
+
+
+@query(f"{CTE} select {ROW_SQL}, {TIMES_SQL} from valid")
+def q_stream_incremental(i: Inputs) -> DataFrame:
+    """Two loads of a growing feed, each of what is new, merged by key into a table."""
+    from .. import schemas
+    from ..streaming.incremental import load_new, stream_jsonl
+
+    rows, raw = i.frozen(i.valid(), "valid"), shared_path(i.spark, "feed")
+    store, parts = TableStore(i.spark, f"{raw}-tables"), F.pmod(F.xxhash64("transaction_id"), F.lit(2))
+    for k in range(2):
+        _feed(i, rows.where(parts == k), f"{raw}/part={k}")
+        load_new(store, stream_jsonl(i.spark, raw, schemas.TRANSACTIONS, NOW), "bronze.t", "transaction_id", f"{raw}-state").awaitTermination()
+    return _rows(store.read("bronze.t"))
+
+
+@query(f"""{CTE}, times as (select epoch_us(event_timestamp) // 1000000 s, channel, amount from valid),
+windows as (select s // 3600 * 3600 as window_start, channel, count(*) as txn_count, round(sum(amount), 6) as amount_sum from times group by 1, 2)
+select window_start, window_start + 3600 as window_end, channel, txn_count, amount_sum from windows where window_start + 3600 <= (select max(s) from times) - 600""")
+def q_stream_activity(i: Inputs) -> DataFrame:
+    """Event-time windows that the watermark has closed."""
+    from .. import schemas
+    from ..streaming.incremental import activity, stream_jsonl
+
+    raw = shared_path(i.spark, "feed")
+    _feed(i, i.valid(), raw)
+    out = _streamed(i, activity(stream_jsonl(i.spark, raw, schemas.TRANSACTIONS, NOW), "channel"), "activity")
+    return out.select(_seconds("window_start"), _seconds("window_end"), "channel", "txn_count", F.round("amount_sum", 6).alias("amount_sum"))
+
+
+@query(f"{CTE} select distinct transaction_id from txn where transaction_id is not null and event_timestamp is not null")
+def q_stream_dedup(i: Inputs) -> DataFrame:
+    """Keys of a feed that repeats some, each once."""
+    from .. import schemas
+    from ..streaming.incremental import dedup_stream, stream_jsonl
+
+    raw = shared_path(i.spark, "feed")
+    _feed(i, i.txn.where("transaction_id is not null and event_timestamp is not null"), raw)
+    return _streamed(i, dedup_stream(stream_jsonl(i.spark, raw, schemas.TRANSACTIONS, NOW), "transaction_id", "event_timestamp", "1 hour").select("transaction_id"), "dedup")
+
+
+@query(f"{CTE} select v.transaction_id, l.is_fraud from valid v join lab l on v.transaction_id = l.transaction_id and l.label_timestamp >= v.event_timestamp and l.label_timestamp <= v.event_timestamp + interval 36 day")
+def q_stream_labels(i: Inputs) -> DataFrame:
+    """Events joined with the labels that a second stream brings up to 36 days later."""
+    from .. import schemas
+    from ..streaming.incremental import events_with_labels, stream_jsonl
+
+    raw = shared_path(i.spark, "feed")
+    _feed(i, i.valid(), f"{raw}/t")
+    _feed(i, i.labels, f"{raw}/l")
+    events = stream_jsonl(i.spark, f"{raw}/t", schemas.TRANSACTIONS, NOW).select("transaction_id", "event_timestamp")
+    labels = stream_jsonl(i.spark, f"{raw}/l", schemas.FRAUD_LABELS, NOW).select("transaction_id", "is_fraud", "label_timestamp")
+    return _streamed(i, events_with_labels(events, labels), "labelled").where("is_fraud is not null").select("transaction_id", "is_fraud")
