@@ -12,11 +12,11 @@ A document's set holds the 64-bit hashes of its distinct word shingles; document
 2. Entries meet first inside a task, so that a hot node costs a row a batch; a node is kept as a star around one class.
 3. The stars' pairs are tested: on the classes' token bitmaps and sizes, which travel without texts, and then exactly.
    Components of these links settle all nodes whose classes they connect.
-4. An open node is cut into leaves by size, label and salt, of bounded classes and bytes. Leaves have the OR of their
-   bitmaps and the range of their sizes. Level by level, pairs of nodes are dropped when the largest overlap that
-   bitmaps and sizes allow is too small, or when both hold one label; the dual traversal goes on inside the leaf
-   pairs that stay, down to classes. Only classes of a pair that still may link send their texts, one copy for each
-   such pair of leaves, and are verified exactly.
+4. An open node is cut into leaves by size, label and salt, of bounded classes and bytes; a node of few classes is one
+   leaf. Leaves have the OR of their bitmaps and the range of their sizes. Pairs of leaves meet by size range and are
+   dropped when the largest overlap that bitmaps and sizes allow is too small, or when both hold one label; the dual
+   traversal goes on inside the pairs that stay, down to classes. Only classes of a pair that still may link send their
+   texts, one copy for each such pair of leaves, and are verified exactly.
 5. Components of all verified links, over classes, give the components of documents.
 
 Null and wordless texts have no set and link with nothing. Fewer words than a shingle make one shingle of them all. Long
@@ -28,6 +28,7 @@ doc_id and text are not read and may have any name. An empty table gives an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ from .components import components
 LEAF = 256
 LEAF_TOKENS = 1 << 21
 FAN = 8
+FEW = 32
 BAND = 1.4
 SIZE_BAND = 1.05
 SEEDS = 4
@@ -242,6 +244,26 @@ def dual(x: Tree, y: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.
         todo += [(a_, b_, i2[k : k + (1 << 16)], j2[k : k + (1 << 16)]) for k in range(0, len(i2), 1 << 16)]
 
 
+@lru_cache(FEW + 1)
+def all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
+def near_pairs(maps: list[np.ndarray], sizes: list[int], sides: list[int], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets (by number) whose bitmaps and sizes allow a link: among side 0, or between sides 0 and 1 where there is a side 1. A few sets need no tree."""
+    if len(maps) <= FEW and not any(sides):
+        width = min(map(len, maps))
+        words, size = np.stack([folded(m, width) for m in maps]), np.array(sizes, np.int64)
+        level = words, size, size, size - np.bitwise_count(words).sum(1).astype(np.int64)
+        i, j = all_pairs(len(maps))
+        ok = possible(level, level, i, j, num, den)
+        yield i[ok], j[ok]
+        return
+    left, x, right, y = trees(maps, sizes, sides)
+    for i, j in dual(x, y, num, den):
+        yield left[i], right[j]
+
+
 def trees(maps: list[np.ndarray], sizes: list[int], sides: list[int]) -> tuple[list[int], Tree, list[int], Tree]:
     """(numbers, tree) of side 0 and of side 1; the same tree twice where there is no side 1."""
     width = min(map(len, maps))
@@ -269,10 +291,9 @@ def links(names: list[bytes], sides: list[int], labels: list[bytes], sets: list[
             up[k] = k = up[up[k]]
         return k
 
-    left, x, right, y = trees([bitmap(s) for s in sets], [len(s) for s in sets], sides)
     out = []
-    for i, j in dual(x, y, num, den):
-        for a, b in zip(left[i].tolist(), right[j].tolist(), strict=True):
+    for i, j in near_pairs([bitmap(s) for s in sets], [len(s) for s in sets], sides, num, den):
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
             ra, rb = root(a), root(b)
             if ra != rb and overlap(sets[a], sets[b]) * (den + num) >= num * (len(sets[a]) + len(sets[b])):
                 up[rb] = ra
@@ -397,20 +418,25 @@ def star_groups(star: DataFrame, slim: DataFrame, num: int, den: int, leaf: int)
 def open_nodes(star: DataFrame, slim: DataFrame, label: DataFrame, leaf: int) -> DataFrame:
     """(sig, node, own, c, label, n, bits): the leaves of all nodes that hold several labels and more than their star's pair.
 
-    own is the label of a leaf that holds no other. Of nodes with the same classes one stands for all."""
+    A node of few classes is one leaf, and its `node` is null. own is the label of another leaf that holds no other. Of
+    nodes with the same classes one stands for all."""
+    home = shared_dir(star.sparkSession)
     every = star.select("sig", "c").union(star.select("sig", "lead")).distinct()
-    every = staged(every.join(label.select(F.col("v").alias("c"), "label"), "c", "left").select("sig", "c", F.coalesce("label", "c").alias("label")), f"{shared_dir(star.sparkSession)}/every")
-    same = F.xxhash64("c")
-    held = every.groupBy("sig").agg(F.count("*").alias("k"), F.min("label").alias("l"), F.max("label").alias("u"), F.bit_xor(same).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
-    still = held.where("k > 2 and l <> u").groupBy("k", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    m = every.join(still, "sig").join(slim.select("c", "n", "bits"), "c")
-    m = staged(m.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(SIZE_BAND)))), f"{shared_dir(star.sparkSession)}/open")
-    large = m.groupBy("sig", "label").agg(F.count("*").alias("of_label")).where(F.col("of_label") * 2 > leaf).select("sig", "label", F.col("label").alias("own"))
-    m = m.join(large, ["sig", "label"], "left")
-    counts = m.groupBy("sig", "band", "own").agg(F.ceil(F.count("*") / room(F.max("n"), leaf)).alias("salts")).withColumnsRenamed({"sig": "s", "band": "b", "own": "o"})
-    m = m.join(counts, (F.col("sig") == F.col("s")) & (F.col("band") == F.col("b")) & F.col("own").eqNullSafe(F.col("o")))
+    every = every.join(label.select(F.col("v").alias("c"), "label"), "c", "left").join(slim.select("c", "n"), "c")
+    every = staged(every.select("sig", "c", F.coalesce("label", "c").alias("label"), "n"), f"{home}/every")
+    held = every.groupBy("sig").agg(F.count("*").alias("k"), F.max("n").alias("most"), F.min("label").alias("l"), F.max("label").alias("u"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "c")).alias("y"))
+    still = held.where("k > 2 and l <> u").groupBy("k", "x", "y").agg(F.min("sig").alias("sig"), F.max("most").alias("most"))
+    m = every.join(still.select("sig", (F.col("k") <= room(F.col("most"), leaf)).alias("whole")), "sig")
+    m = staged(m.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(SIZE_BAND)))), f"{home}/open")
+    large = m.where("not whole")
+    sole = large.groupBy("sig", "label").agg(F.count("*").alias("of_label")).where(F.col("of_label") * 2 > leaf).select("sig", "label", F.col("label").alias("own"))
+    large = large.join(sole, ["sig", "label"], "left")
+    counts = large.groupBy("sig", "band", "own").agg(F.ceil(F.count("*") / room(F.max("n"), leaf)).alias("salts")).withColumnsRenamed({"sig": "s", "band": "b", "own": "o"})
+    large = large.join(counts, (F.col("sig") == F.col("s")) & (F.col("band") == F.col("b")) & F.col("own").eqNullSafe(F.col("o")))
     salt = F.pmod(F.when(F.col("own").isNull(), F.xxhash64("label")).otherwise(F.xxhash64("c")), F.col("salts"))
-    return m.select("sig", F.xxhash64("band", F.coalesce("own", F.lit(b"")), salt).alias("node"), "own", "c", "label", "n", "bits")
+    large = large.select("sig", F.xxhash64("band", F.coalesce("own", F.lit(b"")), salt).alias("node"), "own", "c", "label")
+    few = m.where("whole").select("sig", F.lit(None).cast("long").alias("node"), F.lit(None).cast("binary").alias("own"), "c", "label")
+    return few.union(large).join(slim.select("c", "n", "bits"), "c").select("sig", "node", "own", "c", "label", "n", "bits")
 
 
 def upper(leaves: DataFrame) -> DataFrame:
@@ -425,7 +451,7 @@ def upper(leaves: DataFrame) -> DataFrame:
             lost = max(n - int(np.bitwise_count(m).sum()) for n, m in zip(sizes, maps, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array([group[0][0]], pa.int64()), pa.array([group[0][1]], pa.int64()), pa.array([group[0][2]], pa.binary()), pa.array([min(sizes)], pa.int64()), pa.array([max(sizes)], pa.int64()), pa.array([lost], pa.int64()), pa.array([np.bitwise_or.reduce(maps).tobytes()], pa.binary())], ["sig", "node", "own", "low", "high", "lost", "bits"])
 
-    rows = leaves.select("sig", "node", "own", "n", "bits").repartition("sig", "node").sortWithinPartitions("sig", "node")
+    rows = leaves.where("node is not null").select("sig", "node", "own", "n", "bits").repartition("sig", "node").sortWithinPartitions("sig", "node")
     return rows.mapInArrow(run, "sig long, node long, own binary, low long, high long, lost long, bits binary")
 
 
@@ -443,8 +469,12 @@ def node_pairs(nodes: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append((int(np.bitwise_count(folded(p, w) & folded(q, w)).sum()) + loss) * (den + num) >= num * low)
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1, 2])
 
-    x, y = (nodes.select("sig", *[F.col(k).alias(f"{k}{s}") for k in ("node", "own", "low", "high", "lost", "bits")]) for s in "12")
-    both = x.join(y, "sig").where((F.col("node1") < F.col("node2")) & (F.col("high1") * den >= F.col("low2") * num) & (F.col("high2") * den >= F.col("low1") * num) & ~F.coalesce(F.col("own1") == F.col("own2"), F.lit(False)))
+    # Leaves hold one size band, so only those of bands within reach meet, whatever the number of leaves.
+    reach = int(np.ceil(np.log(den / num) / np.log(SIZE_BAND))) + 1
+    band = F.floor(F.log(F.col("low")) / F.log(F.lit(SIZE_BAND)))
+    x, y = (nodes.select("sig", band.alias(f"band{s}"), *[F.col(k).alias(f"{k}{s}") for k in ("node", "own", "low", "high", "lost", "bits")]) for s in "12")
+    x = x.withColumn("band2", F.explode(F.sequence(F.col("band1"), F.col("band1") + reach)))
+    both = x.join(y, ["sig", "band2"]).where(((F.col("band1") < F.col("band2")) | (F.col("node1") < F.col("node2"))) & (F.col("high1") * den >= F.col("low2") * num) & (F.col("high2") * den >= F.col("low1") * num) & ~F.coalesce(F.col("own1") == F.col("own2"), F.lit(False)))
     far = both.select("sig", F.col("node1").alias("x"), F.col("node2").alias("y"), (F.col("low1") + F.col("low2")).alias("low"), F.least("lost1", "lost2").alias("lost"), "bits1", "bits2").mapInArrow(run, "sig long, x long, y long")
     return nodes.where("own is null").select("sig", F.col("node").alias("x"), F.col("node").alias("y")).union(far)
 
@@ -457,12 +487,10 @@ def leaf_groups(leaves: DataFrame, pairs: DataFrame, num: int, den: int) -> Data
             sides, labels = [r[1] for r in group], [r[3] for r in group]
             if len(set(labels)) < 2 or group[0][6] and len(set(sides)) < 2:
                 continue
-            left, x, right, y = trees([np.frombuffer(r[5], np.uint64) for r in group], [r[4] for r in group], sides)
             number: dict[bytes, int] = {}
             kind = np.array([number.setdefault(v, len(number)) for v in labels])
             need = np.zeros(len(group), bool)
-            for i, j in dual(x, y, num, den):
-                i, j = left[i], right[j]
+            for i, j in near_pairs([np.frombuffer(r[5], np.uint64) for r in group], [r[4] for r in group], sides, num, den):
                 ok = kind[i] != kind[j]
                 need[i[ok]] = need[j[ok]] = True
             took = [r for r, ok in zip(group, need, strict=True) if ok]
@@ -472,7 +500,8 @@ def leaf_groups(leaves: DataFrame, pairs: DataFrame, num: int, den: int) -> Data
 
     g, two = F.xxhash64("sig", "x", "y").alias("g"), (F.col("x") != F.col("y")).alias("two")
     at = lambda end, side: leaves.withColumnRenamed("node", end).join(pairs, ["sig", end]).select(g, F.lit(side).alias("side"), "c", "label", "n", "bits", two)
-    rows = at("x", 0).union(at("y", 1).where("two"))
+    few = leaves.where("node is null").select(F.xxhash64("sig").alias("g"), F.lit(0).alias("side"), "c", "label", "n", "bits", F.lit(False).alias("two"))
+    rows = few.union(at("x", 0)).union(at("y", 1).where("two"))
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, "g long, side int, c binary, label binary")
 
 
