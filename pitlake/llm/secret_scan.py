@@ -111,14 +111,15 @@ def labelled(rows: list[str]) -> tuple[list[str], list[str]]:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Train on the `sample` documents of least hashes: half of them such as may hold a base match, half others.
 
-    A bound on the hash, from the number of rows, lets some WIDE * sample rows through; only these are searched, and each
-    task keeps the first of its own. At most sample * SAMPLE_CHARS characters reach the driver."""
-    may = F.col("text").rlike("(?i)password|passwd|secret|token|api_?key|AKIA").alias("may")
+    A bound on the hash, from the number of rows, lets some WIDE * sample rows through; only these are searched. Their
+    hashes alone are ranked; then the texts of the first are fetched, at most sample * SAMPLE_CHARS characters."""
+    may = F.col("text").rlike("(?i)password|passwd|secret|token|api_?key|AKIA")
     bound = int(min(1.0, WIDE * sample / max(1, docs.count())) * (1 << 40))
-    rows = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("place")).where(F.col("text").isNotNull() & (F.col("place") < bound))
-    few = rows.select("place", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).groupBy("place").agg(F.min("text").alias("text")).select("place", "text", may)
+    rows = docs.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("place")).where(F.col("text").isNotNull() & (F.col("place") < bound))
     first = F.row_number().over(Window.partitionBy("may").orderBy("place"))
-    taken = few.withColumn("rank", first).where(F.col("rank") <= sample // 2).orderBy("place").select("text").collect()
+    ranked = rows.select("place", may.alias("may")).distinct().withColumn("rank", first).where(F.col("rank") <= sample // 2)
+    places = [r[0] for r in ranked.select("place").collect()]
+    taken = rows.where(F.col("place").isin(places)).groupBy("place").agg(F.min("text").alias("text")).orderBy("place").select("text").collect() if places else []
     return train(*labelled([r[0] for r in taken]))
 
 
