@@ -172,7 +172,8 @@ def quality_table(docs: DataFrame, spread: float = SPREAD, min_group: int = MIN_
     The counts are written once, without texts, to the shared folder; sketches and verdicts both read them there."""
     spark = docs.sparkSession
     slim = staged(with_metrics(docs.select("doc_id", "text", "lang", "source"), "m").drop("text"), f"{shared_dir(spark)}/metrics")
-    out = judged(slim, fences(sketches(slim), min_group), spread=spread)
+    fence = staged(fences(sketches(slim), min_group), f"{shared_dir(spark)}/fences")
+    out = judged(slim, fence, spread=spread)
     return out.select("doc_id", *[F.col("m")[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *METRICS)], "kept")
 
 
@@ -183,5 +184,6 @@ def quality_filter(docs: DataFrame, spread: float = SPREAD, min_group: int = MIN
     m, keep = "__quality_metrics", "__quality_kept"
     spark = docs.sparkSession
     passed = staged(with_metrics(docs, m).where(~F.col(m)["base_failed"]), f"{shared_dir(spark)}/measured")
-    fence = fences(sketches(passed.select("lang", "source", m), m), min_group)
+    # Written, the fences have a size that Spark knows when it chooses the join: a few rows are sent round, and no text moves.
+    fence = staged(fences(sketches(passed.select("lang", "source", m), m), min_group), f"{shared_dir(spark)}/fences")
     return judged(passed, fence, m, keep, spread).where(F.col(keep)).select(*[F.col(f"`{c}`") for c in docs.columns])
